@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import media, mixing, packing, simhash
+from lodestar.llm import fingerprints, media, mixing, packing, sentencepiece, simhash, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(documents(spark, sf_dir))
+
+
 def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_packed(spark, packing.write_packed(documents(spark, sf_dir), public_tokenizers.path(packing.VOCABULARY)))
 
@@ -28,9 +32,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(documents(spark, sf_dir)).drop("kept")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_packing, op3_gif_media, op6_simhash, op8_source_mixing)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(sentencepiece.MODEL)
+    return sentencepiece.digests(sentencepiece.encoded(documents(spark, sf_dir), path), path)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_token_packing, op3_gif_media, op6_simhash, op7_substring_dedup, op8_source_mixing, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
