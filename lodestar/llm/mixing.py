@@ -54,7 +54,7 @@ def laid_out(docs: DataFrame) -> DataFrame:
     parts = common.order_buckets(spark)
     d = common.texts(docs, F.col("source").cast("string").alias("source")).select("doc_id", "source", F.regexp_count("text", F.lit(common.WORD)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("mixed"))
     d = common.materialize(d.withColumn("bucket", F.pmod("mixed", F.lit(parts)).cast("int")), "sizes")
-    return running_sum(d, ["source"], "bucket", ["mixed", "doc_id", "size"], F.col("size"), "at").drop("bucket", "mixed")
+    return running_sum(d, ["source"], "bucket", ["mixed", "doc_id", "size"], F.col("size"), "at").drop("bucket")
 
 
 def schedule(spark, sizes: list[tuple[str | None, int]], target: dict[str | None, float], block: int = BLOCK_WORDS) -> DataFrame:
@@ -91,7 +91,7 @@ def schedule(spark, sizes: list[tuple[str | None, int]], target: dict[str | None
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every document."""
+    """doc_id, source, size, source_size, target, taken and mixed (a hash of doc_id and text) of every document."""
     spark = docs.sparkSession
     placed = laid_out(docs)
     sizes = [(r["source"], r["n"]) for r in placed.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # a row for each source
@@ -112,4 +112,13 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     facts = spark.createDataFrame([(s, n, target[s]) for s, n in sizes], "s2 string, source_size long, target double")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")) & (F.col("size") == F.col("z"))
     out = placed.join(got, same, "left").join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("s2")))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "mixed")
+
+
+def mixed(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The documents, all columns as they are, each as often as the mix takes its words, to the nearest whole number
+    (repeated rows share what is taken of them)."""
+    uses = mix(docs, block).where("taken > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("mixed").alias("_mixed")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = docs.withColumn("_key", key).join(uses, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_mixed")))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)

@@ -181,3 +181,91 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = named.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     classes = common.materialize(classes, "classes")
     return own.join(classes, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+
+# --- near copies at a given similarity ------------------------------------------------------------------------------
+
+SIMILARITY, BANDS, ROWS = 0.8, 16, 5
+
+
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The distinct shingles' hashes, as in fingerprint()."""
+    words = text.encode().lower().split()
+    runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs], np.uint64))
+
+
+def samples(h: np.ndarray) -> np.ndarray:
+    """BANDS hashes, each of the ROWS shingles that are least under ROWS fixed mixings of their hashes."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    odd = np.cumprod(np.full(BANDS * ROWS, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    least = np.empty(BANDS * ROWS, np.uint64)
+    for i, m in enumerate(odd):
+        x = h * m
+        least[i] = (x ^ (x >> np.uint64(29))).min()
+    return np.array([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, th (a digest of the text), fp and bands of the documents that have a doc_id."""
+    import hashlib
+
+    common.small_batches(docs.sparkSession)
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(hashlib.blake2b(t.encode(), digest_size=16).digest(), fingerprint(t, shingle), samples(shingle_hashes(t, shingle))) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(np.int64), "th": [r[0] for r in rows], "fp": np.array([r[1] for r in rows], np.uint64).view(np.int64), "bands": [r[2] for r in rows]})
+
+    return common.texts(docs).where("doc_id is not null").mapInPandas(made, "doc_id long, th binary, fp long, bands array<long>")
+
+
+def candidates(first: DataFrame) -> DataFrame:
+    """Pairs a > b of documents worth comparing: each with the least of its fingerprint, the least ones of linked
+    fingerprints, and each with the least and the greatest that share a band (so a bucket's pairs grow with its size)."""
+    by_fp = common.materialize(first.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-least")
+    same = first.join(by_fp, "fp").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    linked = links(by_fp.select("fp"))
+    ends = by_fp.select(F.col("fp").alias("f"), "least")
+    linked = linked.join(ends, F.col("a") == F.col("f")).select("b", F.col("least").alias("x")).join(ends, F.col("b") == F.col("f")).select(F.greatest("x", "least").alias("a"), F.least("x", "least").alias("b"))
+    bands = common.materialize(first.select("doc_id", F.explode("bands").alias("band")), "bands")
+    shared = common.materialize(bands.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "shared-bands")
+    met = bands.join(shared, "band")
+    low, high = met.where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")), met.where("doc_id < hi").select(F.col("hi").alias("a"), F.col("doc_id").alias("b"))
+    return common.materialize(same.unionByName(linked).unionByName(low).unionByName(high).distinct(), "candidates")
+
+
+def similar_pairs(docs: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The candidates whose shingle sets have at least this Jaccard similarity."""
+    pairs = candidates(first)
+    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    own = common.texts(docs).where("doc_id is not null").join(asked, "doc_id", "left_semi")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(np.int64), "s": [shingle_hashes(t, shingle).view(np.int64) for t in b["text"]]})
+
+    found = common.materialize(own.mapInPandas(sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "shingle-sets")
+    left = found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
+    right = found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b")
+    common_n = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common_n >= similarity * (F.size("sa") + F.size("sb") - common_n)).select("a", "b")
+
+
+def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, all columns as they are, without all but the least doc_id of each group of near copies.
+
+    Near copies are texts whose sets of shingles have a Jaccard similarity of at least similarity, and what such
+    links reach. Golay keys reach two of 64 bits, while copies at 0.8 lie up to some 15 bits apart; so min-wise bands
+    give further candidates, and all candidates are verified alike. Rows with one doc_id stay or go together; rows
+    with a null doc_id stay.
+    """
+    sig = common.materialize(signatures(docs, shingle), "signatures")
+    exact = sig.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    exact = common.materialize(exact, "exact-classes")
+    first = exact.select("doc_id", "fp", "bands")
+    roots = components(similar_pairs(docs, first, shingle, similarity))
+    gone = roots.select(F.col("node").alias("gone")).unionByName(sig.join(exact.select("th", F.col("doc_id").alias("least")), "th").where("doc_id > least").select(F.col("doc_id").alias("gone"))).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
