@@ -81,34 +81,54 @@ class PackedImage:
 
 
 class WordEncoder:
-    """Encodes with the tokenizers library, each distinct piece between ASCII white space once.
+    """Encodes with the tokenizers library, each distinct word once.
 
-    The vocabulary's normaliser and pre-tokeniser neither keep nor cross white space, so the ids of a text are those
-    of its pieces in order; the tests hold this against whole texts.
+    The vocabulary's normaliser and pre-tokeniser neither keep nor cross white space, lower-case letters themselves and
+    part a run of full stops and commas from the letter before it; so the ids of a text are those of its pieces
+    between ASCII white space, and those of such a piece are its lower-cased word's and its final marks'. The tests
+    hold this against whole texts.
     """
 
-    LIMIT = 400_000  # pieces kept between texts
+    PIECES, WORDS = 1_000_000, 700_000  # remembered between texts, some 150 bytes each
+    TOGETHER = 500  # words encoded in one call
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.pieces, self.words = Tokenizer.from_file(path), {}, {}
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[np.ndarray]:
-        words = [t.translate(SPACES).split(" ") for t in texts]
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        cut = [t.translate(SPACES).split(" ") for t in texts]
+        if len(self.pieces) > self.PIECES:
+            self.pieces.clear()
+        if len(self.words) > self.WORDS:
+            self.words.clear()
+        known, words = self.pieces, self.words
+        parts = {p: self.parted(p) for p in {p for ps in cut for p in ps if p not in known}}
+        self.learn([w for w in {w for ws in parts.values() for w in ws} if w not in words])
+        for p, (word, marks) in parts.items():
+            known[p] = words[word] + words[marks] if marks else words[word]
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, ws), end]), "<u4") for ws in words]
+        return [np.frombuffer(b"".join([*map(known.__getitem__, ps), end]), "<u4") for ps in cut]
+
+    @staticmethod
+    def parted(piece: str) -> tuple[str, str]:
+        if not piece.isascii():
+            return piece, ""
+        word = piece.rstrip(".,")
+        return (word.lower(), piece[len(word) :]) if word and word[-1].isalpha() else (piece, "")
+
+    def learn(self, new: list[str]) -> None:
+        groups = [new[i : i + self.TOGETHER] for i in range(0, len(new), self.TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            starts = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+            edges = [0, *np.searchsorted(starts, np.cumsum([len(w) + 1 for w in group]) - 1).tolist()]
+            ids = np.array(e.ids, "<u4")
+            for w, a, b in zip(group, edges, edges[1:], strict=False):
+                self.words[w] = ids[a:b].tobytes()
 
 
 SPACES = {i: " " for i in (9, 10, 11, 12, 13)}
