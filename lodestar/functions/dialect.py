@@ -122,7 +122,7 @@ def flag_names(value, names: list[str]) -> Column:
     """The names of the bits set in a flag enum value; NONE for 0."""
     v = _col(value)
     parts = [F.when(v.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]
-    return F.when(v == 0, F.lit("NONE")).otherwise(F.concat_ws("|", *parts))
+    return F.when(v == 0, F.lit("NONE")).when(v != 0, F.concat_ws("|", *parts))
 
 
 def object_id_hex(objid) -> Column:

@@ -1 +1,137 @@
-"""Queries through the dialect and the table engine."""
+"""Queries through the dialect and the table engine; what they write goes to a folder of its own."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from lodestar.plans import dialect
+from lodestar.queries import frame
+from lodestar.session import table, with_tables
+from lodestar.sources.tables import Column, Engine
+from lodestar.streaming.windows import tumbling_counts
+
+
+def _dialect(name: str, text: str, oracle: str) -> None:
+    def run(spark, sf_dir):
+        return with_tables(spark, sf_dir, text).sql(dialect.rewrite(text))
+
+    run.__name__ = name
+    frame(oracle)(run)
+
+
+_dialect("view_as_basic", "SELECT l_orderkey, l_quantity, l_tax FROM lineitem WHERE l_quantity > 45 VIEW AS (l_orderkey AS id, l_quantity * 2 AS twice)", "SELECT l_orderkey AS id, l_quantity * 2 AS twice FROM lineitem WHERE l_quantity > 45")
+_dialect("view_as_case", "SELECT p_partkey, p_size FROM part VIEW AS (p_partkey AS id, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS size)", "SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS size FROM part")
+_dialect("dialect_revlike", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON r_name REVLIKE n_name", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_name LIKE r_name")
+_dialect("dialect_like_any", "SELECT p_partkey FROM part WHERE p_name LIKE ANY ['%a', 'b%']", "SELECT p_partkey FROM part WHERE p_name LIKE '%a' OR p_name LIKE 'b%'")
+_dialect("dialect_similar", "SELECT p_partkey FROM part WHERE p_type NOT SIMILAR TO '%(STEEL|BRASS)'", "SELECT p_partkey FROM part WHERE NOT REGEXP_MATCHES(p_type, '(STEEL|BRASS)$')")
+_dialect("dialect_length", "SELECT doc_id, LENGTH(text) AS b FROM documents", "SELECT doc_id, STRLEN(text) AS b FROM documents")
+_dialect("dialect_int_div", "SELECT r_regionkey, 7 / 2 AS q FROM region", "SELECT r_regionkey, CAST(3 AS BIGINT) AS q FROM region")
+_dialect("dialect_match", "SELECT doc_id FROM documents WHERE MATCH(text) AGAINST('+the -idiot' IN BOOLEAN MODE)", "SELECT doc_id FROM documents WHERE REGEXP_MATCHES(LOWER(text), '(^|[^a-z0-9_])the([^a-z0-9_]|$)') AND NOT REGEXP_MATCHES(LOWER(text), '(^|[^a-z0-9_])idiot([^a-z0-9_]|$)')")
+_dialect("dialect_filter_by", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey FILTER BY n_regionkey = 2 WHERE c_acctbal > 0", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 AND c_acctbal > 0")
+_dialect("dialect_regex_ops", "SELECT p_partkey FROM part WHERE p_type ~* '^small' AND p_brand !~ '5$'", "SELECT p_partkey FROM part WHERE REGEXP_MATCHES(p_type, '^small', 'i') AND NOT REGEXP_MATCHES(p_brand, '5$')")
+
+
+def _engine(spark) -> Engine:
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return Engine(spark, f"{shared}/lodestar/tables-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='lodestar-')}")
+
+
+def _geography(spark, sf_dir, on_delete: str = "restrict") -> Engine:
+    """region <- nation <- supplier, with references by objid."""
+    e = _engine(spark)
+    e.create_table("regions", [("code", "int"), ("name", "text")])
+    e.insert("regions", table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("code"), F.col("r_name").alias("name")))
+    ids = e.read("regions").select(F.col("code").alias("r_code"), F.col("objid").alias("region_ref"))
+    e.create_table("nations", [("code", "int"), ("name", "text"), Column("region_ref", "bigint", True, "regions", on_delete)])
+    e.insert("nations", table(spark, sf_dir, "nation").join(ids, F.col("n_regionkey") == F.col("r_code")).select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), "region_ref"))
+    ids = e.read("nations").select(F.col("code").alias("n_code"), F.col("objid").alias("nation_ref"))
+    e.create_table("suppliers", [("code", "bigint"), Column("nation_ref", "bigint", True, "nations", on_delete)])
+    e.insert("suppliers", table(spark, sf_dir, "supplier").join(ids, F.col("s_nationkey") == F.col("n_code")).select(F.col("s_suppkey").alias("code"), "nation_ref"))
+    return e
+
+
+@frame("SELECT s_suppkey AS code, n_name AS nation_ref_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def ref_one_hop(spark, sf_dir):
+    return _geography(spark, sf_dir).navigate("suppliers", "nation_ref.name").select("code", "nation_ref_name")
+
+
+@frame("SELECT s_suppkey AS code, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def ref_two_hop(spark, sf_dir):
+    return _geography(spark, sf_dir).navigate("suppliers", "nation_ref.region_ref.name").select("code", F.col("nation_ref_region_ref_name").alias("region"))
+
+
+@frame("SELECT s_suppkey AS code FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name LIKE 'C%'")
+def ref_filter_by(spark, sf_dir):
+    return _geography(spark, sf_dir).navigate("suppliers", "nation_ref.name").where("nation_ref_name LIKE 'C%'").select("code")
+
+
+@frame("SELECT s_suppkey AS code, n_nationkey AS nation, n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def ref_expand(spark, sf_dir):
+    return _geography(spark, sf_dir).expand("suppliers", "nation_ref", "n").select("code", F.col("n.code").alias("nation"), F.col("n.name").alias("name"))
+
+
+@frame("SELECT n_nationkey AS code, COUNT(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+def virtual_ref_array(spark, sf_dir):
+    return _geography(spark, sf_dir).referencing("nations", "suppliers", "nation_ref", "s").select("code", F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n"))
+
+
+@frame("SELECT s_suppkey AS code FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 1")
+def ref_cascade(spark, sf_dir):
+    e = _geography(spark, sf_dir, "cascade")
+    e.delete("regions", "code = 1")
+    return e.read("suppliers").select("code")
+
+
+@frame("SELECT n_nationkey AS code, n_regionkey = 1 AS orphan FROM nation")
+def ref_set_null(spark, sf_dir):
+    e = _geography(spark, sf_dir, "set null")
+    e.delete("regions", "code = 1")
+    return e.read("nations").select("code", F.col("region_ref").isNull().alias("orphan"))
+
+
+def _customers(spark, sf_dir) -> Engine:
+    e = _engine(spark)
+    e.create_table("c", [("id", "bigint"), ("balance", "double"), ("segment", "text")], versioned=True, unique=[["id"]])
+    e.insert("c", table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")))
+    return e
+
+
+@frame("SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT -1, NULL, 'NEW'")
+def dml_insert_readback(spark, sf_dir):
+    e = _customers(spark, sf_dir)
+    e.insert("c", [{"id": -1, "segment": "NEW"}])
+    return e.read("c").drop("objid")
+
+
+@frame("SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS balance FROM customer")
+def dml_update_where(spark, sf_dir):
+    e = _customers(spark, sf_dir)
+    e.update("c", {"balance": 0.0}, "segment = 'BUILDING'")
+    return e.read("c").select("id", "balance")
+
+
+@frame("SELECT c_custkey AS id FROM customer WHERE NOT c_acctbal < 0")
+def dml_delete_where(spark, sf_dir):
+    e = _customers(spark, sf_dir)
+    e.delete("c", "balance < 0")
+    return e.read("c").select("id")
+
+
+@frame("SELECT c_custkey AS id, c_acctbal AS balance FROM customer")
+def version_as_of(spark, sf_dir):
+    e = _customers(spark, sf_dir)
+    e.update("c", {"balance": 1.0})
+    return e.read("c", version=1).select("id", "balance")
+
+
+@frame("SELECT user_id, MAX(event_id) AS event_id FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY user_id")
+def version_latest(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@frame("SELECT DATE_TRUNC('hour', ts) AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling_extra(spark, sf_dir):
+    return tumbling_counts(table(spark, sf_dir, "events"))
