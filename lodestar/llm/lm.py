@@ -62,7 +62,8 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str):
         self.n, self.low_bits, self.span = (int(x) for x in arrays[f"{prefix}.head"])
         self.low, self.bits = arrays[f"{prefix}.low"], arrays[f"{prefix}.bits"]
-        self.ones = arrays[f"{prefix}.ones"].astype(np.int64)  # ones before each byte group of eight
+        self.ones = arrays[f"{prefix}.ones"].astype(np.int64)  # ones, and zeros, before each word of the high parts
+        self.zeros, self.words = np.arange(len(self.ones)) * 64 - self.ones, np.append(self.bits.view(np.uint64), np.uint64(0))
 
     @staticmethod
     def build(values: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
@@ -93,20 +94,20 @@ class EliasFano:
         return (right | left) & np.uint64((1 << self.low_bits) - 1)
 
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
-        """Position of the k-th (from 0) zero or one."""
-        before = np.arange(len(self.ones)) * 64 - self.ones if zeros else self.ones
-        group = np.searchsorted(before, k, "right") - 1
-        left = k - before[group]
-        at = group * 8
-        for _ in range(8):
-            b = self.bits[np.minimum(at, len(self.bits) - 1)]
-            here = (8 - _BYTE_ONES[b] if zeros else _BYTE_ONES[b]).astype(np.int64)
+        """Position of the k-th (from 0) zero or one: its word by search, then halves of the word by their counts."""
+        group = np.searchsorted(self.zeros if zeros else self.ones, k, "right") - 1
+        left = k - (self.zeros if zeros else self.ones)[group]
+        word = self.words[group]
+        if zeros:
+            word = ~word
+        at = group * 64
+        for width in (32, 16, 8):
+            here = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
             skip = left >= here
-            if not skip.any():
-                break
-            left, at = np.where(skip, left - here, left), np.where(skip, at + 1, at)
-        b = self.bits[np.minimum(at, len(self.bits) - 1)]
-        return at * 8 + _SELECT[255 - b if zeros else b, np.minimum(left, 7)]
+            left -= here * skip
+            word = np.where(skip, word >> np.uint64(width), word)
+            at += width * skip
+        return at + _SELECT[(word & np.uint64(255)).astype(np.int64), np.minimum(left, 7)]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         high = (self._select(i, zeros=False) - i).astype(np.uint64)
@@ -115,21 +116,21 @@ class EliasFano:
     def locate(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Index of each value, at or after begin and before end; -1 where it is not in the sequence."""
         high, low = (values >> np.uint64(self.low_bits)).astype(np.int64), values & np.uint64((1 << self.low_bits) - 1)
-        inside = high < self.span
-        h = np.where(inside, high, 0)
+        out = np.full(len(values), -1, np.int64)
+        h = np.minimum(high, self.span - 1)
         at = np.where(h > 0, self._select(np.maximum(h - 1, 0), zeros=True) + 1 - h, 0)
-        stop = np.where(inside, self._select(h, zeros=True) - h, 0)
         if begin is not None:
-            at, stop = np.maximum(at, begin), np.minimum(stop, end)
-        out = np.full(len(values), -1, np.int64)
-        open_ = np.flatnonzero(at < stop)
+            at = np.maximum(at, begin)
+        open_ = np.flatnonzero((high < self.span) & (at < (self.n if end is None else end)))
         while len(open_):
-            got = self.low_part(at[open_])
-            hit = got == low[open_]
-            out[open_[hit]] = at[open_[hit]]
-            more = open_[got < low[open_]]
+            i = at[open_]
+            place = i + h[open_]  # a zero there: no more values share this high part
+            one = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            got, want = self.low_part(i), low[open_]
+            out[open_[(one == 1) & (got == want)]] = i[(one == 1) & (got == want)]
+            more = open_[(one == 1) & (got < want)]
             at[more] += 1
-            open_ = more[at[more] < stop[more]]
+            open_ = more[at[more] < (self.n if end is None else end[more])]
         return out
 
 
@@ -188,26 +189,41 @@ def pair_shard(context: np.ndarray, word: np.ndarray, count: np.ndarray, total:
 # --- counting -----------------------------------------------------------------------------------------------------
 
 
+class Numbers(dict):
+    """Gives each new word the next number and keeps its hash."""
+
+    def __init__(self, hashes: list[int]):
+        super().__init__()
+        self.hashes = hashes
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return n
+
+
 class Tokens:
-    """Hashes of the words of texts, each text closed by END; starts of texts come with them."""
+    """Numbers of the words of texts, each text closed by END, and where texts start; hashes are those of the numbers."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = [END]
+        self.known = Numbers(self.hashes)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
-        if len(known) > 400_000:
-            known.clear()
         parts, lengths = [], []
+        end = np.zeros(1, np.int64)
         for t in texts:
             words = t.encode().lower().split()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-            parts.append(np.array([END], np.uint64))
+            parts += [np.fromiter(map(known.__getitem__, words), np.int64, len(words)), end]
             lengths.append(len(words) + 1)
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.cumsum([0, *lengths])
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.cumsum([0, *lengths])
+
+    def full(self) -> bool:
+        return len(self.hashes) > 400_000
 
 
 def pairs(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -229,7 +245,10 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 parts.clear()
 
     for b in batches:
-        tokens, starts = tokenize(b["text"].tolist())
+        if tokenize.full():
+            tokenize.clear()
+        numbers, starts = tokenize(b["text"].tolist())
+        tokens = np.array(tokenize.hashes, np.uint64)[numbers]
         held[0].append(tokens)
         held[1].append(pairs(tokens, starts))
         if sum(map(len, held[0])) > 3_000_000:
@@ -325,18 +344,26 @@ def scored(docs: DataFrame, model: dict, held_out_mod: int = 10) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, tokenize = Trie(model), Tokens()
+        hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the words numbered so far
         for b in batches:
-            tokens, starts = tokenize(b["text"].tolist())
-            words, back = np.unique(tokens, return_inverse=True)
-            c = trie.counts(words)
+            if tokenize.full():
+                tokenize.clear()
+                hashes, counts = hashes[:0], counts[:0]
+            numbers, starts = tokenize(b["text"].tolist())
+            new = np.array(tokenize.hashes[len(hashes) :], np.uint64)
+            order = np.argsort(new)
+            found = np.zeros(len(new), np.int64)
+            found[order] = trie.counts(new[order])
+            hashes, counts = np.concatenate([hashes, new]), np.concatenate([counts, found])
+            tokens, c = hashes[numbers], counts[numbers]
             base = (c + 0.1) / trie.base
             keys, which = np.unique(pairs(tokens, starts), return_inverse=True)
             p, rest = trie.kept(keys)
-            full = np.log10(p[which] + rest[which] * base[back])
+            full = np.log10(p[which] + rest[which] * base)
             add = lambda x: np.add.reduceat(x, starts[:-1]) if len(starts) > 1 else np.zeros(0)
             yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"), "n_tokens": np.diff(starts), "n_known": add((c > 0)[back].astype(np.int64)), "train_tokens": model["tokens"],
-                "base_score": add(np.log10(base)[back]), "score": add(full),
+                "doc_id": b["doc_id"].astype("Int64"), "n_tokens": np.diff(starts), "n_known": add((c > 0).astype(np.int64)), "train_tokens": model["tokens"],
+                "base_score": add(np.log10(base)), "score": add(full),
             })
 
     out = common.texts(docs).mapInPandas(rows, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

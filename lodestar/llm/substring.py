@@ -68,13 +68,16 @@ class Words:
         return x ^ (x >> np.uint64(32))
 
 
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def hashed(texts: list[str]) -> Iterator[tuple[list[bytes], Words]]:
-    known: dict[bytes, int] = {}
+    known = Hashes()
     for t in texts:
         words = t.encode().split()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
         yield words, Words(words, np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         if len(known) > 300_000:
             known.clear()
