@@ -51,9 +51,9 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list, value
 def laid_out(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and at: the words of the source's documents before this one, in hashed order."""
     spark = docs.sparkSession
-    parts = common.order_buckets(spark)
+    bits = max(1, (common.order_buckets(spark) - 1).bit_length())  # a bucket is a prefix of the hash: the order is the same for any number
     d = common.texts(docs, F.col("source").cast("string").alias("source")).select("doc_id", "source", F.regexp_count("text", F.lit(common.WORD)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("mixed"))
-    d = common.materialize(d.withColumn("bucket", F.pmod("mixed", F.lit(parts)).cast("int")), "sizes")
+    d = common.materialize(d.withColumn("bucket", F.shiftrightunsigned("mixed", 64 - bits).cast("int")), "sizes")
     return running_sum(d, ["source"], "bucket", ["mixed", "doc_id", "size"], F.col("size"), "at").drop("bucket")
 
 

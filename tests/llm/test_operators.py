@@ -309,7 +309,7 @@ def test_substring(spark, docs, plain, empty):
     assert got == slow_removed([(d, t, None) for d, t in rows])
 
 
-def test_mixing(docs, plain, empty):
+def test_mixing(spark, docs, plain, empty):
     got = mixing.mix(docs, block=64).collect()
     size = Counter()
     for _, t, s in plain:
@@ -322,6 +322,11 @@ def test_mixing(docs, plain, empty):
         taken[r.source] += r.taken
     assert len(got) == len(plain) and all(abs(taken[s] - target[s]) <= 1 for s in size)
     assert sorted((key(r.doc_id), r.size, r.taken) for r in mixing.mix(docs, block=64).collect()) == sorted((key(r.doc_id), r.size, r.taken) for r in got)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert sorted((key(r.doc_id), r.taken) for r in mixing.mix(docs, block=64).collect()) == sorted((key(r.doc_id), r.taken) for r in got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
     assert mixing.targets([("a", 1), ("b", 100), (None, 0)]) == {None: 0.0, "a": 3.0, "b": 98.0}
 
