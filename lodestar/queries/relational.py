@@ -92,7 +92,7 @@ sql("correlated_scalar", "SELECT c.c_custkey, (SELECT COUNT(*) FROM orders o WHE
 sql("any_subquery", "SELECT p_partkey FROM part WHERE p_size IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)", "SELECT p_partkey FROM part WHERE p_size = ANY (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
 sql("all_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT MAX(o_totalprice) FROM orders WHERE o_orderstatus = 'P') OR NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P')", "SELECT o_orderkey FROM orders WHERE o_totalprice > ALL (SELECT o_totalprice FROM orders WHERE o_orderstatus = 'P')")
 sql("exists_extra", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)")
-sql("unnest_embeddings", "SELECT vec_id, COUNT(*) AS n, ROUND(SUM(CAST(e AS DOUBLE)), 3) AS s FROM (SELECT vec_id, EXPLODE(embedding) AS e FROM embeddings) GROUP BY vec_id", "SELECT vec_id, COUNT(*) AS n, ROUND(SUM(CAST(e AS DOUBLE)), 3) AS s FROM (SELECT vec_id, UNNEST(embedding) AS e FROM embeddings) GROUP BY vec_id")
+sql("unnest_embeddings", "SELECT vec_id, COUNT(*) AS n, MIN(CAST(e AS DOUBLE)) AS lo, MAX(CAST(e AS DOUBLE)) AS hi FROM (SELECT vec_id, EXPLODE(embedding) AS e FROM embeddings) GROUP BY vec_id", "SELECT vec_id, COUNT(*) AS n, MIN(CAST(e AS DOUBLE)) AS lo, MAX(CAST(e AS DOUBLE)) AS hi FROM (SELECT vec_id, UNNEST(embedding) AS e FROM embeddings) GROUP BY vec_id")
 sql("unnest_split_tokens", "SELECT tok, COUNT(*) AS n FROM (SELECT EXPLODE(SPLIT(p_name, ' ')) AS tok FROM part) GROUP BY tok", "SELECT tok, COUNT(*) AS n FROM (SELECT UNNEST(STRING_SPLIT(p_name, ' ')) AS tok FROM part) GROUP BY tok")
 sql("unnest_empty_null", "SELECT id, EXPLODE(a) AS x FROM (VALUES (1, ARRAY(10, 20)), (2, CAST(NULL AS ARRAY<INT>)), (3, SLICE(ARRAY(1), 1, 0))) AS t(id, a)", "SELECT id, UNNEST(a) AS x FROM (VALUES (1, [10, 20]), (2, NULL), (3, [])) AS t(id, a)")
 sql("array_any", "SELECT vec_id FROM embeddings WHERE EXISTS(embedding, x -> x > 0.35)", "SELECT vec_id FROM embeddings WHERE LEN(LIST_FILTER(embedding, lambda x: x > 0.35)) > 0")
