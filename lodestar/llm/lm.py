@@ -114,23 +114,27 @@ class EliasFano:
         return high << np.uint64(self.low_bits) | self.low_part(i)
 
     def locate(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Index of each value, at or after begin and before end; -1 where it is not in the sequence."""
+        """Index of each value, at or after begin and before end; -1 where it is not in the sequence. The values that
+        share a high part lie between two zeros; among them the low parts ascend and are searched by halves."""
         high, low = (values >> np.uint64(self.low_bits)).astype(np.int64), values & np.uint64((1 << self.low_bits) - 1)
         out = np.full(len(values), -1, np.int64)
         h = np.minimum(high, self.span - 1)
         at = np.where(h > 0, self._select(np.maximum(h - 1, 0), zeros=True) + 1 - h, 0)
+        stop = self._select(h, zeros=True) - h
         if begin is not None:
-            at = np.maximum(at, begin)
-        open_ = np.flatnonzero((high < self.span) & (at < (self.n if end is None else end)))
+            at, stop = np.maximum(at, begin), np.minimum(stop, end)
+        last = stop.copy()
+        open_ = np.flatnonzero((high < self.span) & (at < stop))
+        sought = open_
         while len(open_):
-            i = at[open_]
-            place = i + h[open_]  # a zero there: no more values share this high part
-            one = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-            got, want = self.low_part(i), low[open_]
-            out[open_[(one == 1) & (got == want)]] = i[(one == 1) & (got == want)]
-            more = open_[(one == 1) & (got < want)]
-            at[more] += 1
-            open_ = more[at[more] < (self.n if end is None else end[more])]
+            middle = (at[open_] + stop[open_]) >> 1
+            less = self.low_part(middle) < low[open_]
+            at[open_[less]] = middle[less] + 1
+            stop[open_[~less]] = middle[~less]
+            open_ = open_[at[open_] < stop[open_]]
+        sought = sought[at[sought] < last[sought]]
+        same = sought[self.low_part(at[sought]) == low[sought]]
+        out[same] = at[same]
         return out
 
 
@@ -339,34 +343,34 @@ class Trie:
         return p, rest
 
 
+def score_batches(model: dict, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    trie, tokenize = Trie(model), Tokens()
+    hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the words numbered so far
+    for b in batches:
+        if tokenize.full():
+            tokenize.clear()
+            hashes, counts = hashes[:0], counts[:0]
+        numbers, starts = tokenize(b["text"].tolist())
+        new = np.array(tokenize.hashes[len(hashes) :], np.uint64)
+        order = np.argsort(new)
+        found = np.zeros(len(new), np.int64)
+        found[order] = trie.counts(new[order])
+        hashes, counts = np.concatenate([hashes, new]), np.concatenate([counts, found])
+        tokens, c = hashes[numbers], counts[numbers]
+        base = (c + 0.1) / trie.base
+        keys, which = np.unique(pairs(tokens, starts), return_inverse=True)
+        p, rest = trie.kept(keys)
+        full = np.log10(p[which] + rest[which] * base)
+        add = lambda x: np.add.reduceat(x, starts[:-1]) if len(starts) > 1 else np.zeros(0)
+        yield pd.DataFrame({
+            "doc_id": b["doc_id"].astype("Int64"), "n_tokens": np.diff(starts), "n_known": add((c > 0).astype(np.int64)), "train_tokens": model["tokens"],
+            "base_score": add(np.log10(base)), "score": add(full),
+        })
+
+
 def scored(docs: DataFrame, model: dict, held_out_mod: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, tokenize = Trie(model), Tokens()
-        hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the words numbered so far
-        for b in batches:
-            if tokenize.full():
-                tokenize.clear()
-                hashes, counts = hashes[:0], counts[:0]
-            numbers, starts = tokenize(b["text"].tolist())
-            new = np.array(tokenize.hashes[len(hashes) :], np.uint64)
-            order = np.argsort(new)
-            found = np.zeros(len(new), np.int64)
-            found[order] = trie.counts(new[order])
-            hashes, counts = np.concatenate([hashes, new]), np.concatenate([counts, found])
-            tokens, c = hashes[numbers], counts[numbers]
-            base = (c + 0.1) / trie.base
-            keys, which = np.unique(pairs(tokens, starts), return_inverse=True)
-            p, rest = trie.kept(keys)
-            full = np.log10(p[which] + rest[which] * base)
-            add = lambda x: np.add.reduceat(x, starts[:-1]) if len(starts) > 1 else np.zeros(0)
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"), "n_tokens": np.diff(starts), "n_known": add((c > 0).astype(np.int64)), "train_tokens": model["tokens"],
-                "base_score": add(np.log10(base)), "score": add(full),
-            })
-
-    out = common.texts(docs).mapInPandas(rows, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = common.texts(docs).mapInPandas(lambda batches: score_batches(model, batches), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select("doc_id", F.coalesce(common.crc_mod("doc_id", held_out_mod) == 0, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
