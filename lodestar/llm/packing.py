@@ -101,13 +101,13 @@ class WordEncoder:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[np.ndarray]:
-        cut = [t.translate(SPACES).split(" ") for t in texts]
+        cut = [spaced(t).split(" ") for t in texts]
         if len(self.pieces) > self.PIECES:
             self.pieces.clear()
         if len(self.words) > self.WORDS:
             self.words.clear()
         known, words = self.pieces, self.words
-        parts = {p: self.parted(p) for p in {p for ps in cut for p in ps if p not in known}}
+        parts = {p: self.parted(p) for p in set().union(*cut).difference(known)}
         self.learn([w for w in {w for ws in parts.values() for w in ws} if w not in words])
         for p, (word, marks) in parts.items():
             known[p] = words[word] + words[marks] if marks else words[word]
@@ -131,7 +131,13 @@ class WordEncoder:
                 self.words[w] = ids[a:b].tobytes()
 
 
-SPACES = {i: " " for i in (9, 10, 11, 12, 13)}
+def spaced(text: str) -> str:
+    """ASCII white space as spaces; five searches for single characters, which str.translate does one by one."""
+    for c in "\t\n\v\f\r":
+        text = text.replace(c, " ")
+    return text
+
+
 ENCODERS: dict[str, WordEncoder] = {}
 
 
