@@ -386,3 +386,18 @@ def test_sentencepiece(docs, plain, empty):
 
 def test_registered():
     assert [q for n in range(1, 11) for q in queries.QUERIES if q.startswith(f"op{n}_")] == list(queries.QUERIES)
+
+
+def test_elias_fano_finds_values_in_dense_and_sparse_stretches():
+    rng = np.random.default_rng(5)
+    dense = 7_000_000_000 + np.sort(rng.choice(60_000, 20_000, replace=False)).astype(np.uint64)
+    values = np.concatenate([np.sort(rng.choice(1 << 32, 500, replace=False)).astype(np.uint64), dense, dense[-1:] + np.uint64(1 << 40)])
+    for v in (values, values[:1], values[:0]):
+        seq = lm.EliasFano({k: a for k, a in lm.EliasFano.build(v, "x").items()}, "x")
+        asked = np.unique(np.concatenate([values, values + np.uint64(1), values[1:] - np.uint64(1)]))
+        at = np.searchsorted(v, asked)
+        there = (at < len(v)) & (v[np.minimum(at, len(v) - 1)] == asked) if len(v) else np.zeros(len(asked), bool)
+        assert (seq.locate(asked) == np.where(there, at, -1)).all()
+        inside = (at >= len(v) // 3) & (at < len(v) // 2)
+        begin, end = np.full(len(asked), len(v) // 3), np.full(len(asked), len(v) // 2)
+        assert (seq.locate(asked, begin, end) == np.where(there & inside, at, -1)).all()
