@@ -70,17 +70,6 @@ class DoubleArray:
                 self.check[at + b], self.value[at + b] = s, ends[child]
                 queue.append(child)
 
-    def prefixes(self, data: bytes, start: int) -> Iterator[tuple[int, int]]:
-        """End and value of each key that data holds at start."""
-        s, base, check, value = 0, self.base, self.check, self.value
-        for i in range(start, len(data)):
-            t = base[s] + data[i]
-            if check[t] != s:
-                return
-            s = t
-            if value[s] >= 0:
-                yield i + 1, value[s]
-
 
 class Model:
     LIMIT = 400_000  # units kept between texts
@@ -95,7 +84,10 @@ class Model:
         alphabet = {c for p in plain for c in p.decode()}
         outside = "".join(c for c in "\t\n\r" if c not in alphabet)
         self.units = re.compile(f"{MARK}*[^{MARK}{outside}]+|{MARK}+|[{outside}]+" if outside else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.longest = max(map(len, plain), default=0)
+        self.inside = {p[i : i + 2] for p in map(bytes.decode, plain) for i in range(len(p) - 1)}  # pairs that some piece spans
         self.from_byte = {v: bytes([k]) for k, v in byte_ids.items()}
+        self.decoded = [b"" if i in special else self.from_byte.get(i) or p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.known: dict[str, tuple[tuple[int, ...], float]] = {}
 
     @classmethod
@@ -111,18 +103,26 @@ class Model:
         n = len(data)
         score, back = [None] * (n + 1), [None] * (n + 1)
         score[0] = 0.0
-        scores, prefixes = self.scores, self.trie.prefixes
+        scores, base, check, value = self.scores, self.trie.base, self.trie.check, self.trie.value
         at = 0
         while at < n:
             width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
             here = score[at]
             if here is not None:
-                single = False
-                for end, piece in prefixes(data, at):
-                    total = here + scores[piece]
-                    single |= end == at + width
-                    if score[end] is None or total > score[end]:
-                        score[end], back[end] = total, (at, piece)
+                single, s, end = False, 0, at
+                for b in data[at : at + self.longest]:  # the trie's walk from here
+                    t = base[s] + b
+                    if check[t] != s:
+                        break
+                    s = t
+                    end += 1
+                    piece = value[s]
+                    if piece >= 0:
+                        total = here + scores[piece]
+                        if end == at + width:
+                            single = True
+                        if score[end] is None or total > score[end]:
+                            score[end], back[end] = total, (at, piece)
                 if not single:
                     end, total = at + width, here + self.unknown
                     if score[end] is None or total > score[end]:
@@ -135,6 +135,17 @@ class Model:
             at = start
         return tuple(i for p in reversed(out) for i in p), score[n]
 
+    def parted(self, unit: str) -> tuple[tuple[int, ...], float]:
+        """The best segmentation; a last character that no piece joins to the one before is segmented on its own."""
+        if len(unit) < 2 or unit[-2:] in self.inside:
+            return self.best(unit)
+        known = self.known
+        for part in (unit[:-1], unit[-1]):
+            if part not in known:
+                known[part] = self.best(part)
+        (a, x), (b, y) = known[unit[:-1]], known[unit[-1]]
+        return a + b, x + y
+
     def encode(self, text: str) -> tuple[list[int], float]:
         if not text:
             return [], 0.0
@@ -148,14 +159,14 @@ class Model:
             for unit in self.units.findall((MARK if first else "") + part.replace(" ", MARK)):
                 found = known.get(unit)
                 if found is None:
-                    found = known[unit] = self.best(unit)
+                    found = known[unit] = self.parted(unit)
                 ids += found[0]
                 total += found[1]
             first = False
         return ids, total
 
     def decode(self, ids: list[int]) -> str:
-        out = b"".join(self.from_byte[i] if i in self.from_byte else self.pieces[i].replace(MARK, " ").encode() for i in ids if i not in self.special)
+        out = b"".join(map(self.decoded.__getitem__, ids))
         return out.decode("utf-8", "replace")[1:]
 
 
