@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # --- near copies at a given similarity ------------------------------------------------------------------------------
 
 SIMILARITY, BANDS, ROWS = 0.8, 16, 5
+SAMPLE, COMMON = 2000, 20_000  # sets that tell which shingles are common, and how many of those are put last
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -208,50 +209,126 @@ def samples(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, th (a digest of the text), fp and bands of the documents that have a doc_id."""
+    """doc_id, th (a digest of the text), fp, n (distinct shingles) and bands of the documents that have a doc_id."""
     import hashlib
 
     common.small_batches(docs.sparkSession)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(hashlib.blake2b(t.encode(), digest_size=16).digest(), fingerprint(t, shingle), samples(shingle_hashes(t, shingle))) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype(np.int64), "th": [r[0] for r in rows], "fp": np.array([r[1] for r in rows], np.uint64).view(np.int64), "bands": [r[2] for r in rows]})
+            sets = [shingle_hashes(t, shingle) for t in b["text"]]
+            rows = [(hashlib.blake2b(t.encode(), digest_size=16).digest(), fingerprint(t, shingle), samples(h)) for t, h in zip(b["text"], sets, strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(np.int64), "th": [r[0] for r in rows], "fp": np.array([r[1] for r in rows], np.uint64).view(np.int64), "n": [len(h) for h in sets], "bands": [r[2] for r in rows]})
+
+    return common.texts(docs).where("doc_id is not null").mapInPandas(made, "doc_id long, th binary, fp long, n int, bands array<long>")
+
+
+def buckets(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """bucket, doc_id, n and weight for each bucket of two documents or more, and pairs a > b of documents whose
+    fingerprints are linked. A document is in a bucket for each of its bands and in that of its fingerprint and all that
+    links reach from it; weight is how many places its buckets have, greatest for a text that others are copies of."""
+    by_fp = common.materialize(first.groupBy("fp").agg(F.min(F.struct("doc_id", "n")).alias("end"), F.count("*").alias("size")), "fp-least")
+    linked = common.materialize(links(by_fp.select("fp")), "fp-links")
+    ends = by_fp.select(F.col("fp").alias("f"), "end")
+    pairs = linked.join(ends, F.col("a") == F.col("f")).select("b", F.col("end").alias("x")).join(ends, F.col("b") == F.col("f")).select("x", F.col("end").alias("y"))
+    grouped = by_fp.where("size > 1").select(F.col("fp").alias("f"), F.col("fp").alias("root")).join(roots := common.materialize(components(linked), "fp-roots"), F.col("f") == F.col("node"), "left_anti").unionByName(roots.select(F.col("node").alias("f"), "root")).unionByName(roots.select(F.col("root").alias("f"), "root")).distinct()
+    by_link = first.join(grouped, F.col("fp") == F.col("f")).select(F.xxhash64(F.lit("fp"), "root").alias("bucket"), "doc_id", "n")
+    every = common.materialize(first.select(F.explode("bands").alias("bucket"), "doc_id", "n").unionByName(by_link), "bands")
+    met = common.materialize(every.join(every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "shared-bands")
+    weights = met.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    return common.materialize(met.join(weights, "doc_id").select("bucket", "doc_id", "n", "weight"), "buckets"), pairs
+
+
+def alike_in_size(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs x, y of structs of doc_id and n as distinct a > b, without those whose sizes alone rule the similarity out."""
+    near = pairs.where("x.doc_id <> y.doc_id").where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
+    return near.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
+def candidates(met: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """A first choice of pairs, in proportion to the buckets: each document with the least, the greatest and the weightiest
+    of its bucket, and the least ones of linked fingerprints."""
+    own = F.struct("doc_id", "n")
+    ends = met.groupBy("bucket").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max(F.struct("weight", "doc_id", "n")).alias("top"))
+    stars = met.join(ends, "bucket").select(own.alias("x"), F.explode(F.array("lo", "hi", F.struct("top.doc_id", "top.n"))).alias("y"))
+    return common.materialize(alike_in_size(stars.unionByName(linked), similarity), "candidates")
+
+
+def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, n and label (its component) of the documents in buckets that links have not made one component."""
+    labelled = common.materialize(met.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("label")), "labels")
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return common.materialize(labelled.join(split, "bucket", "left_semi").select("doc_id", "label").distinct(), "unsettled")
+
+
+def common_shingles(own: DataFrame) -> np.ndarray:
+    """The most frequent shingles of some of the sets, rarest first. They only set the order in prefixes()."""
+    n = own.count()
+    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
+    found = some.select(F.explode("s").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    return np.array([r["h"] for r in reversed(found)], np.int64)
+
+
+def prefixes(own: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, n, label and token. In any one order of all shingles, two sets of this similarity share one of each one's
+    first |s| - ceil(similarity |s|) + 1; with common shingles last, unlike texts seldom share one."""
+    late = common_shingles(own)
+    order = np.argsort(late)
+    ascending = late[order]
 
-    return common.texts(docs).where("doc_id is not null").mapInPandas(made, "doc_id long, th binary, fp long, bands array<long>")
-
-
-def candidates(first: DataFrame) -> DataFrame:
-    """Pairs a > b of documents worth comparing: each with the least of its fingerprint, the least ones of linked
-    fingerprints, and each with the least and the greatest that share a band (so a bucket's pairs grow with its size)."""
-    by_fp = common.materialize(first.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-least")
-    same = first.join(by_fp, "fp").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    linked = links(by_fp.select("fp"))
-    ends = by_fp.select(F.col("fp").alias("f"), "least")
-    linked = linked.join(ends, F.col("a") == F.col("f")).select("b", F.col("least").alias("x")).join(ends, F.col("b") == F.col("f")).select(F.greatest("x", "least").alias("a"), F.least("x", "least").alias("b"))
-    bands = common.materialize(first.select("doc_id", F.explode("bands").alias("band")), "bands")
-    shared = common.materialize(bands.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "shared-bands")
-    met = bands.join(shared, "band")
-    low, high = met.where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")), met.where("doc_id < hi").select(F.col("hi").alias("a"), F.col("doc_id").alias("b"))
-    return common.materialize(same.unionByName(linked).unionByName(low).unionByName(high).distinct(), "candidates")
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            kept = []
+            for s in b["s"]:
+                rank = np.zeros(len(s), np.int64)
+                if len(late):
+                    at = np.minimum(np.searchsorted(ascending, s), len(late) - 1)
+                    rank = np.where(ascending[at] == s, order[at] + 1, 0)
+                kept.append(s[np.lexsort((s, rank))][: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1])
+            size = [len(k) for k in kept]
+            yield pd.DataFrame({"doc_id": b["doc_id"].repeat(size), "n": b["s"].map(len).repeat(size), "label": b["label"].repeat(size), "token": np.concatenate(kept) if kept else np.zeros(0, np.int64)})
+
+    return own.mapInPandas(made, "doc_id long, n int, label long, token long")
+
+
+def remaining(own: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of these documents that can have the similarity and lie in different components (label)."""
+    tokens = common.materialize(prefixes(own, similarity), "prefixes")
+    split = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    tokens = common.materialize(tokens.join(split, "token", "left_semi"), "split-prefixes")
+    # of two components that meet under a token, one at least is not the token's largest
+    largest = tokens.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label")).alias("top")).select("token", F.col("top.label").alias("largest"))
+    fewer = tokens.join(largest, "token").where("label <> largest").select("token", F.struct("doc_id", "n").alias("x"), F.col("label").alias("lx"))
+    pairs = fewer.join(tokens.select("token", F.struct("doc_id", "n").alias("y"), F.col("label").alias("ly")), "token").where("lx <> ly")
+    return alike_in_size(pairs.select("x", "y"), similarity)
+
+
+def verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have at least this Jaccard similarity."""
+    left = found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
+    right = found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b")
+    common_n = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common_n >= similarity * (F.size("sa") + F.size("sb") - common_n)).select("a", "b")
 
 
-def similar_pairs(docs: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The candidates whose shingle sets have at least this Jaccard similarity."""
-    pairs = candidates(first)
-    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = common.texts(docs).where("doc_id is not null").join(asked, "doc_id", "left_semi")
+def copy_groups(docs: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node and root for each document that similar ones in its buckets link: the first choice of pairs makes most
+    components, then whatever pair of different components in a bucket can still be similar is compared."""
+    met, linked = buckets(first)
+    pairs = candidates(met, linked, similarity)
+    own = common.texts(docs).where("doc_id is not null").join(met.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype(np.int64), "s": [shingle_hashes(t, shingle).view(np.int64) for t in b["text"]]})
 
     found = common.materialize(own.mapInPandas(sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "shingle-sets")
-    left = found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    right = found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common_n = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common_n >= similarity * (F.size("sa") + F.size("sb") - common_n)).select("a", "b")
+    roots = common.materialize(components(verified(pairs, found, similarity)), "copy-roots")
+    rest = found.join(unsettled(met, roots), "doc_id")
+    more = remaining(common.materialize(rest, "unsettled-sets"), similarity).join(pairs, ["a", "b"], "left_anti")
+    more = common.materialize(more, "more-candidates")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more, found, similarity)))
 
 
 def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -259,13 +336,13 @@ def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR
 
     Near copies are texts whose sets of shingles have a Jaccard similarity of at least similarity, and what such
     links reach. Golay keys reach two of 64 bits, while copies at 0.8 lie up to some 15 bits apart; so min-wise bands
-    give further candidates, and all candidates are verified alike. Rows with one doc_id stay or go together; rows
-    with a null doc_id stay.
+    give further buckets, and every similar pair within a bucket is found or already linked by others. Rows with one
+    doc_id stay or go together; rows with a null doc_id stay.
     """
     sig = common.materialize(signatures(docs, shingle), "signatures")
-    exact = sig.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    exact = sig.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     exact = common.materialize(exact, "exact-classes")
-    first = exact.select("doc_id", "fp", "bands")
-    roots = components(similar_pairs(docs, first, shingle, similarity))
+    first = exact.select("doc_id", "fp", "n", "bands")
+    roots = copy_groups(docs, first, shingle, similarity)
     gone = roots.select(F.col("node").alias("gone")).unionByName(sig.join(exact.select("th", F.col("doc_id").alias("least")), "th").where("doc_id > least").select(F.col("doc_id").alias("gone"))).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")

@@ -277,6 +277,37 @@ def test_near_copies(spark, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
+def test_near_copies_of_a_hub_that_is_no_end(spark):
+    """Groups whose copies are similar to the original and seldom to each other; within a bucket no similar pair is left out."""
+    rng, rows = random.Random(5), []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(250)]
+        copies = [list(base) for _ in range(120)]
+        for k, c in enumerate(copies[1:]):
+            for j in rng.sample(range(250), 5):
+                c[j] = f"g{g}c{k}x{j}"
+        rows += [" ".join(c) for c in copies]
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows += [f"{passage} " + " ".join(f"q{k}y{i}" for i in range(40)) for k in range(60)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+    shared = defaultdict(list)
+    for i, t in enumerate(rows):
+        for band in simhash.samples(simhash.shingle_hashes(t, 5)).tolist():
+            shared[band].append(i)
+    group = list(range(len(rows)))
+    for a, b in {(a, b) for s in shared.values() for a in s for b in s if a > b}:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = [low if x == high else x for x in group]
+    assert sorted(r.doc_id for r in simhash.first_of_each(d).collect()) == sorted(set(group))
+    one = spark.createDataFrame([(i, simhash.shingle_hashes(t, 5).view(np.int64).tolist(), i) for i, t in enumerate(rows)], "doc_id long, s array<long>, label long")
+    found = {(r.a, r.b) for r in simhash.remaining(one, 0.8).collect()}
+    similar = {(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert similar <= found
+
+
 def slow_removed(plain):
     first = {}
     words = [re.findall(r"[^\x20\x09-\x0D]+", t) for _, t, _ in plain]
