@@ -2,8 +2,8 @@
 
 Counts of words and of word pairs are gathered from all training texts. The first level holds every word (64-bit
 hash) with its exact count, the second, for each context (32-bit hash of the word before, or the end token before a
-first word), the words that followed it at least CUTOFF times with their discounted probability, quantised to 16 bits
-in log space. Each level is cut into shards by leading hash bits; a shard is a file in the shared folder of monotone
+first word), the words that followed it at least cutoff times (the query: once, so all of them) with their discounted
+probability, quantised to 16 bits in log space. Each level is cut into shards by leading hash bits; a shard is a file in the shared folder of monotone
 sequences in Elias-Fano form: contexts, pointers into the next level, and successors, where the successor of a context
 is stored after all those of the contexts before it, so that the level is one monotone sequence. Scoring maps the
 files into memory and searches a context's successors between its two pointers.
@@ -260,12 +260,12 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush()
 
 
-def train(docs: DataFrame, held_out_mod: int = 10) -> dict:
+def train(docs: DataFrame, held_out_mod: int = 10, cutoff: int = CUTOFF) -> dict:
     """Count, write the shards and return the model: its folder, bits of a shard's number, totals and shard list."""
     spark = docs.sparkSession
     common.small_batches(spark)
     texts = common.texts(docs).where(common.crc_mod("doc_id", held_out_mod) != 0).select("text")
-    counts = texts.mapInPandas(counted, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where(f"kind = 0 or n >= {CUTOFF}")
+    counts = texts.mapInPandas(counted, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where(f"kind = 0 or n >= {cutoff}")
     counts = common.materialize(counts, "counts")
     words, second = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
     tokens, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -283,11 +283,19 @@ def train(docs: DataFrame, held_out_mod: int = 10) -> dict:
     def write_pairs(g: pd.DataFrame) -> pd.DataFrame:
         keys = g["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
-        put(f"{folder}/pairs-{g['shard'].iloc[0]}.ef", pair_shard((keys >> np.uint64(32))[order], (keys & LOW32)[order], g["n"].to_numpy()[order], g["total"].to_numpy()[order]))
+        context, n = (keys >> np.uint64(32))[order], g["n"].to_numpy()[order]
+        if "total" in g:
+            total = g["total"].to_numpy()[order]
+        else:
+            which = np.unique(context, return_inverse=True)[1]
+            total = np.bincount(which, n).astype(np.int64)[which]
+        put(f"{folder}/pairs-{g['shard'].iloc[0]}.ef", pair_shard(context, (keys & LOW32)[order], n, total))
         return pd.DataFrame({"kind": ["pairs"], "shard": [g["shard"].iloc[0]]})
 
-    totals = words.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("context")).agg(F.sum("n").alias("total"))
-    joined = second.withColumn("context", F.shiftrightunsigned("key", 32)).join(totals, "context").select("key", "n", "total")
+    joined = second
+    if cutoff > 1:  # else a context's pairs, all in one shard, add up to its count: each word but END has a next one
+        totals = words.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("context")).agg(F.sum("n").alias("total"))
+        joined = second.withColumn("context", F.shiftrightunsigned("key", 32)).join(totals, "context").select("key", "n", "total")
     made = words.withColumn("shard", shard("words")).groupBy("shard").applyInPandas(write_words, "kind string, shard int")
     made = made.unionByName(joined.withColumn("shard", shard("pairs")).groupBy("shard").applyInPandas(write_pairs, "kind string, shard int"))
     shards = [(r["kind"], r["shard"]) for r in made.collect()]  # one row for about SHARD_ROWS entries
@@ -374,6 +382,6 @@ def scored(docs: DataFrame, model: dict, held_out_mod: int = 10) -> DataFrame:
     return out.select("doc_id", F.coalesce(common.crc_mod("doc_id", held_out_mod) == 0, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def evaluated(docs: DataFrame) -> DataFrame:
-    return scored(docs, train(docs))
+def evaluated(docs: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
+    return scored(docs, train(docs, cutoff=cutoff))
 

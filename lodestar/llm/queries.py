@@ -49,7 +49,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.evaluated(documents(spark, sf_dir))
+    return lm.evaluated(documents(spark, sf_dir), cutoff=1)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,6 +393,21 @@ def test_language_model(docs, plain, empty):
     assert lm.evaluated(empty).count() == 0
 
 
+def test_language_model_query_keeps_pairs_seen_once(spark):
+    got = queries.op9_lm_scoring(spark, DIR).collect()
+    tokens = [(r.doc_id, (r.text or "").encode().lower().split() + [b" end "]) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    train = [t for d, t in tokens if d is not None and zlib.crc32(str(d).encode()) % 10]
+    c, pairs, kept = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([b" end ", *t[:-1]], t, strict=True)), Counter()
+    for (u, _), k in pairs.items():
+        kept[u] += (k - 0.75) / c[u]
+    n, v = sum(c.values()), len(c)
+    p0 = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    p = lambda u, w: (max(0, pairs[u, w] - 0.75) / c[u] + (1 - kept[u]) * p0(w)) if c[u] else p0(w)
+    want = [(key(d), len(t), sum(math.log10(p(u, w)) for u, w in zip([b" end ", *t[:-1]], t, strict=True))) for d, t in tokens]
+    for g, w in zip(sorted((key(r.doc_id), r.n_tokens, r.score) for r in got), sorted(want), strict=True):
+        assert g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=5e-3, abs_tol=1e-2 + 1.3e-4 * g[1])
+
+
 def test_sentencepiece(docs, plain, empty):
     path = public_tokenizers.path(sentencepiece.MODEL)
     m = sentencepiece.model(path)
