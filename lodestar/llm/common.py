@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Row limit of one Arrow batch sent to Python, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
+#: Limits of one Arrow batch sent to Python: rows, and bytes where texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,8 +50,42 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver forget plans that are done, so that Spark deletes their shuffle files now and not at some later time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
+    """Bound what one batch holds. Plans read these settings when they run, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have in any case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+class WordHashes(dict):
+    """XXH64 of words. Long words are computed anew each time, so that a bounded number of entries bounds memory."""
+
+    MOST, LONGEST = 300_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = h
+        return h
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -20,6 +20,7 @@ doc_id is never a component's name, and has a null component_id when nothing els
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,7 +44,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    h = np.array([digest(b" ".join(r), SEED) for r in runs], "<u8")
+    return majority(np.array([digest(b" ".join(r), SEED) for r in runs], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65_536):
         part = h[i : i + 65_536]
@@ -146,24 +151,30 @@ def links(distinct: DataFrame) -> DataFrame:
     points = spread.select((F.col("s").cast("long") * 1099511627776).alias("key"), "fp").mapInPandas(midpoints, "s int, point long, fp long")
     least = points.groupBy("s", "point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("top > b").select("s", "point", "b")
     stars = points.join(least, ["s", "point"]).where("fp > b").select(F.col("fp").alias("a"), "b")
-    return found.unionByName(stars).distinct()
+    out = common.materialize(found.unionByName(stars).distinct(), "links")
+    common.release(near)
+    common.release(hot)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's least node) for each node of edges (a > b), by alternating large and small stars."""
+    """node and root (its component's least node) for each node of edges (a > b), by alternating large and small stars.
+
+    The least neighbours are written before they are joined, so that a node with very many edges meets in a plain
+    sort-merge join, which adaptive execution splits."""
     now = common.materialize(edges.select("a", "b"), "edges")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = common.materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         large = common.materialize(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = common.materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         small = common.materialize(small, "small-star")
         n, sums = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        common.release(now)
-        common.release(large)
+        for done in (now, least, large, low):
+            common.release(done)
         now, was, state = small, state, (n, sums)
         if was == state:
             break
@@ -189,54 +200,83 @@ SIMILARITY, BANDS, ROWS = 0.8, 16, 5
 SAMPLE, COMMON = 2000, 20_000  # sets that tell which shingles are common, and how many of those are put last
 
 
-def shingle_hashes(text: str, shingle: int) -> np.ndarray:
-    """The distinct shingles' hashes, as in fingerprint()."""
+def ordered_hashes(text: str, shingle: int, known: common.WordHashes) -> np.ndarray:
+    """A hash of each shingle in turn, repeats included: a polynomial of its words' hashes, mixed."""
     words = text.encode().lower().split()
-    runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words] if words else []
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs], np.uint64))
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    width = min(shingle, len(w))
+    h = np.full(len(w) - width + 1, width, np.uint64)
+    for i in range(width):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - width + 1 + i]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_hashes(text: str, shingle: int, known: common.WordHashes | None = None) -> np.ndarray:
+    """The distinct shingles' hashes."""
+    return np.unique(ordered_hashes(text, shingle, common.WordHashes() if known is None else known))
+
+
+MIXINGS = np.cumprod(np.full(BANDS * ROWS, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
 def samples(h: np.ndarray) -> np.ndarray:
     """BANDS hashes, each of the ROWS shingles that are least under ROWS fixed mixings of their hashes."""
     if not len(h):
         return np.zeros(0, np.int64)
-    odd = np.cumprod(np.full(BANDS * ROWS, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-    least = np.empty(BANDS * ROWS, np.uint64)
-    for i, m in enumerate(odd):
-        x = h * m
-        least[i] = (x ^ (x >> np.uint64(29))).min()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(h), 1024):
+        x = h[i : i + 1024, None] * MIXINGS
+        x ^= x >> np.uint64(29)
+        least = np.minimum(least, x.min(axis=0))
     return np.array([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, th (a digest of the text), fp, n (distinct shingles) and bands of the documents that have a doc_id."""
-    import hashlib
-
     common.small_batches(docs.sparkSession)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = common.WordHashes()
         for b in batches:
-            sets = [shingle_hashes(t, shingle) for t in b["text"]]
-            rows = [(hashlib.blake2b(t.encode(), digest_size=16).digest(), fingerprint(t, shingle), samples(h)) for t, h in zip(b["text"], sets, strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype(np.int64), "th": [r[0] for r in rows], "fp": np.array([r[1] for r in rows], np.uint64).view(np.int64), "n": [len(h) for h in sets], "bands": [r[2] for r in rows]})
+            rows = []
+            for t in b["text"]:
+                h = ordered_hashes(t, shingle, known)
+                own = np.unique(h)
+                rows.append((digest(t), majority(h) if len(h) else 0, len(own), samples(own)))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(np.int64), "th": [r[0] for r in rows], "fp": np.array([r[1] for r in rows], np.uint64).view(np.int64), "n": [r[2] for r in rows], "bands": [r[3] for r in rows]})
 
     return common.texts(docs).where("doc_id is not null").mapInPandas(made, "doc_id long, th binary, fp long, n int, bands array<long>")
 
 
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
 def buckets(first: DataFrame) -> tuple[DataFrame, DataFrame]:
     """bucket, doc_id, n and weight for each bucket of two documents or more, and pairs a > b of documents whose
     fingerprints are linked. A document is in a bucket for each of its bands and in that of its fingerprint and all that
     links reach from it; weight is how many places its buckets have, greatest for a text that others are copies of."""
     by_fp = common.materialize(first.groupBy("fp").agg(F.min(F.struct("doc_id", "n")).alias("end"), F.count("*").alias("size")), "fp-least")
-    linked = common.materialize(links(by_fp.select("fp")), "fp-links")
+    linked = links(by_fp.select("fp"))
     ends = by_fp.select(F.col("fp").alias("f"), "end")
     pairs = linked.join(ends, F.col("a") == F.col("f")).select("b", F.col("end").alias("x")).join(ends, F.col("b") == F.col("f")).select("x", F.col("end").alias("y"))
-    grouped = by_fp.where("size > 1").select(F.col("fp").alias("f"), F.col("fp").alias("root")).join(roots := common.materialize(components(linked), "fp-roots"), F.col("f") == F.col("node"), "left_anti").unionByName(roots.select(F.col("node").alias("f"), "root")).unionByName(roots.select(F.col("root").alias("f"), "root")).distinct()
+    pairs = common.materialize(pairs, "fp-pairs")
+    roots = common.materialize(components(linked), "fp-roots")
+    grouped = by_fp.where("size > 1").select(F.col("fp").alias("f"), F.col("fp").alias("root")).join(roots, F.col("f") == F.col("node"), "left_anti").unionByName(roots.select(F.col("node").alias("f"), "root")).unionByName(roots.select(F.col("root").alias("f"), "root")).distinct()
+    grouped = common.materialize(grouped, "fp-groups")
     by_link = first.join(grouped, F.col("fp") == F.col("f")).select(F.xxhash64(F.lit("fp"), "root").alias("bucket"), "doc_id", "n")
     every = common.materialize(first.select(F.explode("bands").alias("bucket"), "doc_id", "n").unionByName(by_link), "bands")
-    met = common.materialize(every.join(every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "shared-bands")
+    # what is joined to a bucket's rows is written first: a large bucket is then split like any skewed join
+    sizes = common.materialize(every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
+    met = common.materialize(every.join(sizes, "bucket"), "shared-bands")
     weights = met.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    return common.materialize(met.join(weights, "doc_id").select("bucket", "doc_id", "n", "weight"), "buckets"), pairs
+    out = common.materialize(met.join(weights, "doc_id").select("bucket", "doc_id", "n", "weight"), "buckets")
+    for done in (by_fp, linked, roots, grouped, every, sizes, met):
+        common.release(done)
+    return out, pairs
 
 
 def alike_in_size(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -250,15 +290,21 @@ def candidates(met: DataFrame, linked: DataFrame, similarity: float) -> DataFram
     of its bucket, and the least ones of linked fingerprints."""
     own = F.struct("doc_id", "n")
     ends = met.groupBy("bucket").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max(F.struct("weight", "doc_id", "n")).alias("top"))
+    ends = common.materialize(ends, "bucket-ends")
     stars = met.join(ends, "bucket").select(own.alias("x"), F.explode(F.array("lo", "hi", F.struct("top.doc_id", "top.n"))).alias("y"))
-    return common.materialize(alike_in_size(stars.unionByName(linked), similarity), "candidates")
+    out = common.materialize(alike_in_size(stars.unionByName(linked), similarity), "candidates")
+    common.release(ends)
+    return out
 
 
 def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc_id, n and label (its component) of the documents in buckets that links have not made one component."""
+    """doc_id and label (its component) of the documents in buckets that links have not made one component."""
     labelled = common.materialize(met.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("label")), "labels")
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    return common.materialize(labelled.join(split, "bucket", "left_semi").select("doc_id", "label").distinct(), "unsettled")
+    split = common.materialize(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "split-buckets")
+    out = common.materialize(labelled.join(split, "bucket", "left_semi").select("doc_id", "label").distinct(), "unsettled")
+    common.release(labelled)
+    common.release(split)
+    return out
 
 
 def common_shingles(own: DataFrame) -> np.ndarray:
@@ -293,14 +339,18 @@ def prefixes(own: DataFrame, similarity: float) -> DataFrame:
 
 def remaining(own: DataFrame, similarity: float) -> DataFrame:
     """All pairs of these documents that can have the similarity and lie in different components (label)."""
-    tokens = common.materialize(prefixes(own, similarity), "prefixes")
-    split = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    tokens = common.materialize(tokens.join(split, "token", "left_semi"), "split-prefixes")
+    every = common.materialize(prefixes(own, similarity), "prefixes")
+    split = common.materialize(every.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"), "split-tokens")
+    tokens = common.materialize(every.join(split, "token", "left_semi"), "split-prefixes")
     # of two components that meet under a token, one at least is not the token's largest
     largest = tokens.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label")).alias("top")).select("token", F.col("top.label").alias("largest"))
+    largest = common.materialize(largest, "largest")
     fewer = tokens.join(largest, "token").where("label <> largest").select("token", F.struct("doc_id", "n").alias("x"), F.col("label").alias("lx"))
     pairs = fewer.join(tokens.select("token", F.struct("doc_id", "n").alias("y"), F.col("label").alias("ly")), "token").where("lx <> ly")
-    return alike_in_size(pairs.select("x", "y"), similarity)
+    out = common.materialize(alike_in_size(pairs.select("x", "y"), similarity), "remaining")
+    for done in (every, split, tokens, largest):
+        common.release(done)
+    return out
 
 
 def verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
@@ -315,20 +365,32 @@ def verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame
 def copy_groups(docs: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node and root for each document that similar ones in its buckets link: the first choice of pairs makes most
     components, then whatever pair of different components in a bucket can still be similar is compared."""
+    spark = docs.sparkSession
     met, linked = buckets(first)
     pairs = candidates(met, linked, similarity)
-    own = common.texts(docs).where("doc_id is not null").join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = first.select("doc_id", "th").join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = common.materialize(wanted.select(F.col("doc_id").alias("d"), F.col("th").alias("t")), "wanted")
+    common.sweep(spark)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = common.WordHashes()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype(np.int64), "s": [shingle_hashes(t, shingle).view(np.int64) for t in b["text"]]})
+            b = b[[digest(x) == t for x, t in zip(b["text"], b["t"], strict=True)]]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(np.int64), "s": [shingle_hashes(t, shingle, known).view(np.int64) for t in b["text"]]})
 
+    # a plain shuffle at every size; of rows with one doc_id, those of the text that stands for it
+    own = common.texts(docs).where("doc_id is not null").join(wanted.hint("merge"), F.col("doc_id") == F.col("d")).select("doc_id", "text", "t")
     found = common.materialize(own.mapInPandas(sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "shingle-sets")
+    common.sweep(spark)
     roots = common.materialize(components(verified(pairs, found, similarity)), "copy-roots")
-    rest = found.join(unsettled(met, roots), "doc_id")
-    more = remaining(common.materialize(rest, "unsettled-sets"), similarity).join(pairs, ["a", "b"], "left_anti")
-    more = common.materialize(more, "more-candidates")
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more, found, similarity)))
+    rest = common.materialize(found.join(left := unsettled(met, roots), "doc_id"), "unsettled-sets")
+    common.sweep(spark)
+    more = remaining(rest, similarity)
+    common.sweep(spark)
+    out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more.join(pairs, ["a", "b"], "left_anti"), found, similarity)))
+    for done in (met, linked, pairs, wanted, found, roots, left, rest, more):
+        common.release(done)
+    return out
 
 
 def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -336,13 +398,21 @@ def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = SIMILAR
 
     Near copies are texts whose sets of shingles have a Jaccard similarity of at least similarity, and what such
     links reach. Golay keys reach two of 64 bits, while copies at 0.8 lie up to some 15 bits apart; so min-wise bands
-    give further buckets, and every similar pair within a bucket is found or already linked by others. Rows with one
-    doc_id stay or go together; rows with a null doc_id stay.
+    give further buckets, and every similar pair within a bucket is found or already linked by others.
+
+    Edge cases: rows with a null doc_id stay; rows with one doc_id stay or go together, and of their different texts
+    each counts for exact copies and the one with the least digest for similar ones; texts without words are copies of
+    each other only where they are equal; an empty table gives an empty result; extra columns may have any names.
     """
     sig = common.materialize(signatures(docs, shingle), "signatures")
     exact = sig.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     exact = common.materialize(exact, "exact-classes")
-    first = exact.select("doc_id", "fp", "n", "bands")
+    first = common.materialize(exact.groupBy("doc_id").agg(F.min(F.struct("th", "fp", "n", "bands")).alias("r")).select("doc_id", "r.*"), "first-texts")
+    common.sweep(docs.sparkSession)
     roots = copy_groups(docs, first, shingle, similarity)
     gone = roots.select(F.col("node").alias("gone")).unionByName(sig.join(exact.select("th", F.col("doc_id").alias("least")), "th").where("doc_id > least").select(F.col("doc_id").alias("gone"))).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    gone = common.materialize(gone, "gone")
+    for done in (sig, exact, first):
+        common.release(done)
+    common.sweep(docs.sparkSession)
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["gone"], "left_anti")
