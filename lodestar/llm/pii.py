@@ -2,17 +2,23 @@
 
 The patterns give the base spans (e-mail, IP address, payment card, phone). The tagger is trained in numpy from
 labelled spans: lines of made-up words in which personal data in many spellings, and look-alikes that are none, are
-set by a seeded generator. A text is cut into overlapping windows; each is tagged by Viterbi decoding; a character's
-tag comes from the window in whose middle part it lies, and runs of one kind become spans of the whole text. A tagged
-span must hold an @ or a digit and pass its kind's checks, and gives way to base spans and to earlier spans that it
-overlaps. So a window without @ or digit cannot add a span, and is not decoded: the result is the same.
+set by a seeded generator. A text is cut into overlapping windows; a character's emission score is the mean of those
+it has in the windows over it, and one Viterbi decoding over the joined scores of the whole text gives its tags.
+
+A span must pass its kind's checks (valid()), which say what characters it may hold: so it lies in a reach, a run of
+such characters around an @ or around enough digits. The decoding is bound to the tag "outside" at every character
+out of all reaches. Where only one tag is possible, the best path before and after are independent of each other; so
+decoding each reach by itself, between two outside tags, is the decoding of the whole text, and windows over no reach
+need no scores. Added spans give way to base spans that they overlap.
 
 Edge cases: a null or empty text has no spans; equal texts have equal spans; spans are counted in code points, end
-exclusive; a digit group of any length is read without converting it to a number first.
+exclusive; a digit group of any length is read without converting it to a number first; extra columns stay as they
+are in masked() and are ignored in found(); repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -129,18 +135,20 @@ class Tagger:
         h = np.concatenate([f[0], b[0][::-1]], axis=2)
         return h @ self.out + self.bias, (x, f, b, h)
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        e, _ = self.scores(ids)
+    def decode(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best tags of stretches that stand between characters tagged outside. e: characters x stretches x tags,
+        of which each stretch has its length."""
         n, w, k = e.shape
-        best, back = e[0], np.zeros((n, w, k), np.int8)
+        best, back, every = self.moves[0] + e[0], np.zeros((n, w, k), np.int8), np.arange(w)
         for t in range(1, n):
             s = best[:, :, None] + self.moves
-            back[t] = s.argmax(axis=1)
-            best = s.max(axis=1) + e[t]
+            on = (t < lengths)[:, None]
+            back[t] = np.where(on, s.argmax(axis=1), np.arange(k))
+            best = np.where(on, s.max(axis=1) + e[t], best)
         tags = np.zeros((n, w), np.int8)
-        tags[-1] = best.argmax(axis=1)
+        tags[-1] = (best + self.moves[:, 0]).argmax(axis=1)
         for t in range(n - 1, 0, -1):
-            tags[t - 1] = back[t, np.arange(w), tags[t]]
+            tags[t - 1] = back[t, every, tags[t]]
         return tags.T
 
 
@@ -299,50 +307,80 @@ def windows(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
 
 
-def tagged(texts: list[str], model: Tagger) -> list[list[Span]]:
-    """Spans by the tagger alone, after the checks, of each text."""
-    edge = (WINDOW - STRIDE) // 2
-    ids, jobs = [], []
-    for k, text in enumerate(texts):
-        spots = np.array([m.start() for m in ANCHOR.finditer(text)])
-        if not len(spots):
-            continue
-        coded = char_ids(text)
-        for start in windows(len(text)).tolist():
-            i = np.searchsorted(spots, start)
-            if i < len(spots) and spots[i] < start + WINDOW:
-                row = np.zeros(WINDOW, np.int64)
-                part = coded[start : start + WINDOW]
-                row[: len(part)] = part
-                ids.append(row)
-                jobs.append((k, start, len(text)))
-    tags: dict[int, dict[int, np.ndarray]] = {}
-    for i in range(0, len(ids), 512):
-        for (k, start, _), row in zip(jobs[i : i + 512], model.decode(np.stack(ids[i : i + 512])), strict=True):
-            tags.setdefault(k, {})[start] = row
-    out: list[list[Span]] = [[] for _ in texts]
-    for k, rows in tags.items():
-        text, starts = texts[k], windows(len(texts[k])).tolist()
-        whole: list[tuple[int, np.ndarray]] = []
-        for start in rows:
-            lo = start if start == 0 else start + edge
-            hi = len(text) if start == starts[-1] else start + WINDOW - edge
-            whole.append((lo, rows[start][lo - start : hi - start]))
-        out[k] = [s for run in joined(whole) for s in spans_of(*run) if valid(s[0], text[s[1] : s[2]])]
-    return out
+#: What valid() lets a number's span hold, and what a span on either side of an @ may.
+NUMBER = re.compile(r"[0-9 ().+/\[\]-]+")
+BEFORE, AFTER = re.compile(r"[^\s@]{2,64} ?\Z"), re.compile(r" ?[^\s@]+")
+LOCAL_MOST = 64
 
 
-def joined(parts: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
-    """Middle parts that touch, as one."""
-    at, held = 0, []
-    for lo, tags in sorted(parts, key=lambda p: p[0]):
-        if held and lo != at + sum(map(len, held)):
-            yield at, np.concatenate(held)
-            held = []
-        at = at if held else lo
-        held.append(tags)
-    if held:
-        yield at, np.concatenate(held)
+def reaches(text: str) -> list[tuple[int, int]]:
+    """Stretches, apart from each other and ascending, outside of which no valid span has a character."""
+    out = []
+    at = text.find("@")
+    while at >= 0:
+        before, after = BEFORE.search(text, max(0, at - LOCAL_MOST - 1), at), AFTER.match(text, at + 1)
+        if before and after and "." in after[0]:
+            out.append((before.start(), after.end()))
+        at = text.find("@", at + 1)
+    for m in NUMBER.finditer(text):
+        if m.end() - m.start() >= 7:
+            digits = len(only_digits(m[0]))
+            if digits >= 10 or digits >= 4 and m[0].count(".") >= 3:
+                out.append(m.span())
+    merged: list[tuple[int, int]] = []
+    for lo, hi in sorted(out):
+        if merged and lo <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+        else:
+            merged.append((lo, hi))
+    return merged
+
+
+def emissions(texts: list[str], places: list[list[tuple[int, int]]], model: Tagger) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of each place (text, start): the mean scores that its characters have in the windows over them."""
+    jobs, ids, asked = {}, [], []
+    for k, own in enumerate(places):
+        if not own:
+            continue
+        coded, starts = char_ids(texts[k]), windows(len(texts[k]))
+        for lo, hi in own:
+            first, last = np.searchsorted(starts, lo - WINDOW, "right"), np.searchsorted(starts, hi)
+            mine = starts[first:last].tolist()
+            for start in mine:
+                if (k, start) not in jobs:
+                    jobs[k, start] = len(ids)
+                    part = coded[start : start + WINDOW]
+                    ids.append(np.concatenate([part, np.zeros(WINDOW - len(part), np.int64)]))
+            asked.append((k, lo, hi, mine))
+    scores = [model.scores(np.stack(ids[i : i + 512]))[0] for i in range(0, len(ids), 512)]
+    for k, lo, hi, mine in asked:
+        total, n = np.zeros((hi - lo, TAGS), np.float32), np.zeros((hi - lo, 1), np.float32)
+        for start in mine:
+            j = jobs[k, start]
+            a, b = max(lo, start), min(hi, start + WINDOW)
+            total[a - lo : b - lo] += scores[j // 512][a - start : b - start, j % 512]
+            n[a - lo : b - lo] += 1
+        yield k, lo, total / n
+
+
+def tagged(texts: list[str], model: Tagger, places: list[list[tuple[int, int]]] | None = None) -> list[list[Span]]:
+    """Spans by the tagger alone, after the checks, of each text. places: where to look, the reaches unless given."""
+    found = sorted(emissions(texts, [reaches(t) for t in texts] if places is None else places, model), key=lambda f: len(f[2]))
+    out: list[list[Span]] = [[] for _ in texts]
+    at = 0
+    while at < len(found):
+        size = 1  # stretches of like length together, within a bound on their characters
+        while at + size < len(found) and (size + 1) * len(found[at + size][2]) <= 50_000:
+            size += 1
+        part = found[at : at + size]
+        lengths = np.array([len(e) for _, _, e in part])
+        e = np.zeros((lengths[-1], size, TAGS), np.float32)
+        for j, (_, _, own) in enumerate(part):
+            e[: len(own), j] = own
+        for (k, lo, _), tags, n in zip(part, model.decode(e, lengths), lengths.tolist(), strict=True):
+            out[k] += [s for s in spans_of(lo, tags[:n]) if valid(s[0], texts[k][s[1] : s[2]])]
+        at += size
+    return [sorted(spans, key=lambda s: s[1]) for spans in out]
 
 
 def spans_of(at: int, tags: np.ndarray) -> Iterator[Span]:
@@ -360,11 +398,16 @@ def all_spans(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Sp
     base = [base_spans(t) for t in texts]
     out = []
     for own, more in zip(base, tagged(texts, model), strict=True):
-        taken = list(own)
+        starts, ends, far = [s[1] for s in own], [], 0
+        for s in own:
+            far = max(far, s[2])
+            ends.append(far)  # of the spans up to this one, the furthest end
+        added = []
         for s in more:
-            if all(s[2] <= b[1] or b[2] <= s[1] for b in taken):
-                taken.append(s)
-        out.append((own, sorted(taken, key=lambda s: (s[1], KINDS.index(s[0])))))
+            before = bisect.bisect_left(starts, s[2])
+            if not before or ends[before - 1] <= s[1]:
+                added.append(s)
+        out.append((own, sorted([*own, *added], key=lambda s: (s[1], KINDS.index(s[0])))))
     return out
 
 
