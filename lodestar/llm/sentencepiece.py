@@ -1,33 +1,44 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-Pieces and scores come from a model file. A space becomes the marker U+2581 and the text gets one marker in front, as
-the model expects. The best segmentation maximises the sum of scores; a character that no piece covers costs the
-least score less 10 and becomes one piece for each of its UTF-8 bytes. No piece holds a marker after another
-character, nor a character outside the pieces' alphabet, so a text falls into units that are segmented on their own
-and remembered. decode() joins pieces and bytes and turns markers back to spaces; a marker that stood in the text
-itself is encoded by its bytes, so every text comes back as it was.
+The pieces come from a model file; their scores are log probabilities fitted here. A space becomes the marker U+2581
+and the text gets one marker in front, as the model expects. The best segmentation maximises the sum of scores; a
+character that no piece covers costs the least score less 10 and becomes one piece for each of its UTF-8 bytes. No
+piece holds a marker after another character, nor a character outside the pieces' alphabet, so a text falls into units
+that are segmented on their own and remembered. decode() joins pieces and bytes and turns markers back to spaces; a
+marker that stood in the text itself is encoded by its bytes, so every text comes back as it was.
+
+The file's own scores are merge ranks, no probabilities. So units are counted over all documents, and expectation
+maximisation over best segmentations runs on the distinct units: from equal scores, each round counts the pieces of the
+best segmentations and sets a piece's score to the log of its share, SMOOTH added to each count. What a round brings
+to the driver is one count for each piece of the vocabulary.
 
 Edge cases: a null or empty text has no pieces; equal texts have equal ids; of equally good segmentations the one
-whose last piece is longest wins.
+whose last piece is longest wins; without any text all pieces have equal scores; a null doc_id and repeated rows count
+and are encoded as any row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestar.llm import common
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 PENALTY = 10.0
+ROUNDS, SMOOTH = 2, 0.1
 
 
 class DoubleArray:
@@ -69,26 +80,38 @@ class DoubleArray:
                 used[at + b], place[child] = 1, at + b
                 self.check[at + b], self.value[at + b] = s, ends[child]
                 queue.append(child)
+        size = max(place.values()) + 257  # all that any state and byte can reach
+        self.base, self.check, self.value = self.base[:size], self.check[:size], self.value[:size]
 
 
 class Model:
-    LIMIT = 400_000  # units kept between texts
+    LIMIT, LONGEST = 400_000, 96  # units kept between texts, and the most bytes of one that is kept
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], special: set[int]):
-        self.pieces, self.scores, self.byte_ids, self.special = pieces, scores, byte_ids, special
+    def __init__(self, pieces: list[str], byte_ids: dict[int, int], special: set[int]):
+        self.pieces, self.byte_ids, self.special = pieces, byte_ids, special
         plain = {p.encode(): i for i, p in enumerate(pieces) if i not in special and i not in byte_ids.values() and p}
         if any(MARK in p.decode().lstrip(MARK) for p in plain):
             raise ValueError("a piece holds a marker after another character")
         self.trie = DoubleArray(plain)
-        self.unknown = min((s for i, s in enumerate(scores) if pieces[i].encode() in plain and s > -1e8), default=0.0) - PENALTY
+        self.arrays = [np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value)]
+        self.plain = np.array(sorted(plain.values()), np.int64)
         alphabet = {c for p in plain for c in p.decode()}
         outside = "".join(c for c in "\t\n\r" if c not in alphabet)
         self.units = re.compile(f"{MARK}*[^{MARK}{outside}]+|{MARK}+|[{outside}]+" if outside else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.longest = max(map(len, plain), default=0)
-        self.inside = {p[i : i + 2] for p in map(bytes.decode, plain) for i in range(len(p) - 1)}  # pairs that some piece spans
         self.from_byte = {v: bytes([k]) for k, v in byte_ids.items()}
         self.decoded = [b"" if i in special else self.from_byte.get(i) or p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[str, tuple[tuple[int, ...], float]] = {}
+        self.ids_of: dict[str, tuple[int, ...]] = {}
+        self.score_of: dict[str, float] = {}
+        self.rate(np.full(len(pieces), -math.log(max(1, len(plain)))))
+
+    def rate(self, scores: np.ndarray) -> Model:
+        """Take other scores."""
+        self.weights, self.scores = scores, scores.tolist()
+        self.unknown = float(scores[self.plain].min(initial=0.0)) - PENALTY
+        self.ids_of.clear()
+        self.score_of.clear()
+        return self
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -96,7 +119,7 @@ class Model:
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         n = range(m.vocab_size())
-        return cls([m.id_to_piece(i) for i in n], [m.get_score(i) for i in n], {int(m.id_to_piece(i)[3:5], 16): i for i in n if m.is_byte(i)}, {i for i in n if m.is_control(i) or m.is_unknown(i)})
+        return cls([m.id_to_piece(i) for i in n], {int(m.id_to_piece(i)[3:5], 16): i for i in n if m.is_byte(i)}, {i for i in n if m.is_control(i) or m.is_unknown(i)})
 
     def best(self, unit: str) -> tuple[tuple[int, ...], float]:
         data = unit.encode()
@@ -135,35 +158,109 @@ class Model:
             at = start
         return tuple(i for p in reversed(out) for i in p), score[n]
 
-    def parted(self, unit: str) -> tuple[tuple[int, ...], float]:
-        """The best segmentation; a last character that no piece joins to the one before is segmented on its own."""
-        if len(unit) < 2 or unit[-2:] in self.inside:
-            return self.best(unit)
-        known = self.known
-        for part in (unit[:-1], unit[-1]):
-            if part not in known:
-                known[part] = self.best(part)
-        (a, x), (b, y) = known[unit[:-1]], known[unit[-1]]
-        return a + b, x + y
+    def best_many(self, units: list[str]) -> list[tuple[tuple[int, ...], float]]:
+        """best() of many units: those of like length go through the trie together."""
+        out: list = [None] * len(units)
+        data = [u.encode() for u in units]
+        order = sorted((i for i, d in enumerate(data) if len(d) <= self.LONGEST), key=lambda i: len(data[i]))
+        for i, d in enumerate(data):
+            if len(d) > self.LONGEST:
+                out[i] = self.best(units[i])
+        for size, same in groupby(order, key=lambda i: len(data[i])):
+            same = list(same)
+            for at in range(0, len(same), 8192):
+                part = same[at : at + 8192]
+                for i, found in zip(part, self._best_of([data[i] for i in part], size), strict=True):
+                    out[i] = found
+        return out
 
-    def encode(self, text: str) -> tuple[list[int], float]:
-        if not text:
-            return [], 0.0
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        ids, total, known, first = [], 0.0, self.known, True
+    def _best_of(self, data: list[bytes], size: int) -> Iterator[tuple[tuple[int, ...], float]]:
+        """Of units of so many bytes each. Positions come first in all arrays, units second."""
+        base, check, value = self.arrays
+        n = len(data)
+        grid = np.ascontiguousarray(np.frombuffer(b"".join(data), np.uint8).reshape(n, size).T).astype(np.int32)
+        plain = bool((grid < 0x80).all())
+        width = 1 if plain else np.where(grid < 0x80, 1, np.where(grid < 0xE0, 2, np.where(grid < 0xF0, 3, 4)))
+        score = np.full((size + 1, n), -np.inf)
+        score[0] = 0.0
+        back, piece = np.zeros((size + 1, n), np.int16), np.full((size + 1, n), -1, np.int32)
+        for at in range(size):
+            own = score[at]
+            rows = here = np.arange(n) if plain else np.flatnonzero(np.isfinite(own))
+            single = np.zeros(n, bool)
+            state = np.zeros(len(rows), np.int32)
+            for end in range(at + 1, min(size, at + self.longest) + 1):
+                to = base[state] + grid[end - 1][rows]
+                ok = np.flatnonzero(check[to] == state)
+                if not len(ok):
+                    break
+                rows, state = rows[ok], to[ok]
+                v = value[state]
+                hit = np.flatnonzero(v >= 0)
+                if not len(hit):
+                    continue
+                r, v = rows[hit], v[hit]
+                if plain:
+                    if end == at + 1:
+                        single[r] = True
+                else:
+                    single[r[width[at][r] == end - at]] = True
+                total = own[r] + self.weights[v]
+                up = np.flatnonzero(total > score[end][r])
+                r = r[up]
+                score[end][r], back[end][r], piece[end][r] = total[up], at, v[up]
+            rest = here[~single[here]]
+            if len(rest):
+                end = at + (1 if plain else width[at][rest])
+                total = own[rest] + self.unknown
+                up = total > score[end, rest]
+                r, e = rest[up], end if plain else end[up]
+                score[e, r], back[e, r], piece[e, r] = total[up], at, -1
+        for d, b, p, total in zip(data, back.T.tolist(), piece.T.tolist(), score[size].tolist(), strict=True):
+            at, ids = size, []
+            while at:
+                start = b[at]
+                if p[at] >= 0:
+                    ids.append(p[at])
+                else:
+                    ids += [self.byte_ids[x] for x in reversed(d[start:at])]
+                at = start
+            yield tuple(reversed(ids)), total
+
+    def split(self, text: str) -> list[list[str]]:
+        """The units of each part of a text; between parts stands a marker of the text itself."""
+        first, out = True, []
         for part in text.split(MARK):
-            if not first:  # a marker of the text itself
-                ids += [self.byte_ids[b] for b in MARK.encode()]
-                total += self.unknown
-            for unit in self.units.findall((MARK if first else "") + part.replace(" ", MARK)):
-                found = known.get(unit)
-                if found is None:
-                    found = known[unit] = self.parted(unit)
-                ids += found[0]
-                total += found[1]
+            out.append(self.units.findall((MARK if first else "") + part.replace(" ", MARK)))
             first = False
-        return ids, total
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[tuple[list[int], float]]:
+        ids_of, score_of, out = self.ids_of, self.score_of, []
+        if len(ids_of) > self.LIMIT:
+            ids_of.clear()
+            score_of.clear()
+        parts = [self.split(t) if t else [] for t in texts]
+        new = list(set().union(*(p for t in parts for p in t)).difference(ids_of))
+        for u, (ids, total) in zip(new, self.best_many(new), strict=True):
+            ids_of[u], score_of[u] = ids, total
+        mark = [self.byte_ids[b] for b in MARK.encode()]
+        for t in parts:
+            ids, total = [], 0.0
+            for k, part in enumerate(t):
+                if k:
+                    ids += mark
+                    total += self.unknown
+                ids += chain.from_iterable(map(ids_of.__getitem__, part))
+                total += sum(map(score_of.__getitem__, part))
+            out.append((ids, total))
+        for u in new:
+            if len(u) > self.LONGEST:
+                del ids_of[u], score_of[u]
+        return out
+
+    def encode(self, text: str) -> tuple[list[int], float]:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.decoded.__getitem__, ids))
@@ -175,14 +272,84 @@ def model(path: str) -> Model:
     return Model.load(path)
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and score of every whole text."""
+MADE: dict[tuple[str, int], Model] = {}
+
+
+def rated(path: str, scores: np.ndarray) -> Model:
+    """This worker's model with these scores; it keeps one."""
+    key = path, zlib.crc32(scores.tobytes())
+    if key not in MADE:
+        MADE.clear()
+        MADE[key] = model(path).rate(scores)
+    return MADE[key]
+
+
+def unit_counts(docs: DataFrame, path: str) -> DataFrame:
+    """unit and n: how often each unit occurs in all texts."""
     common.small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model(path)
+        m, seen = model(path), Counter()
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame({"unit": list(seen), "n": list(seen.values())}).astype({"unit": object, "n": np.int64})
+            seen.clear()
+            return out
+
+        held = 0
+        for b in batches:
+            for t in b["text"]:
+                for part in m.split(t) if t else ():
+                    seen.update(part)
+                held += len(t)
+                if len(seen) > 300_000 or held > 64 << 20:
+                    yield flush()
+                    held = 0
+        yield flush()
+
+    return common.texts(docs).select("text").mapInPandas(rows, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def fitted(docs: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """The pieces' log probabilities after so many rounds of expectation maximisation over all texts."""
+    spark = docs.sparkSession
+    units = common.materialize(unit_counts(docs, path), "units")
+    m = model(path)
+    scores = np.full(len(m.pieces), -math.log(max(1, len(m.plain))))
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(scores)  # a number for each piece
+
+        def pieces(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            m = rated(path, shared.value)
+            total = np.zeros(len(m.pieces), np.int64)
+            for b in batches:
+                for (ids, _), n in zip(m.best_many(b["unit"].tolist()), b["n"].tolist(), strict=True):
+                    for i in ids:
+                        total[i] += n
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"piece": at.astype(np.int32), "n": total[at]})
+
+        found = units.mapInPandas(pieces, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(len(scores))
+        for r in found:
+            counts[r["piece"]] = r["n"]
+        own = counts[m.plain] + SMOOTH
+        scores = np.full(len(scores), -math.log(max(1, len(m.plain))))
+        scores[m.plain] = np.log(own / own.sum())
+    common.release(units)
+    return scores
+
+
+def encoded(docs: DataFrame, path: str, scores: np.ndarray | None = None) -> DataFrame:
+    """doc_id, ids and score of every whole text, under these scores or those fitted to the documents."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    shared = spark.sparkContext.broadcast(fitted(docs, path) if scores is None else scores)  # a number for each piece
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = rated(path, shared.value)
         for b in batches:
-            made = [m.encode(t) for t in b["text"]]
+            made = m.encode_many(b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [np.array(i, np.int32) for i, _ in made], "score": [s for _, s in made]})
 
     return common.texts(docs).mapInPandas(rows, "doc_id long, ids array<int>, score double")
