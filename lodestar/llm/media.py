@@ -1,11 +1,14 @@
 """GIF files as a media column: LZW code streams, palettes, disposal and transparency, timed frames, colour histograms.
 
-read() decodes any GIF87a or GIF89a file but for interlaced frames' row order, which it restores, and plain-text
-blocks, which it skips. write() stores a payload of 8-bit samples as palette indices in frames 64 pixels wide, each
-LZW-coded, so that the joined samples of the decoded frames are the payload again.
-
-Edge cases: a null or empty text has a payload of 64 zero bytes; equal texts give equal files; a damaged file raises
-GifError in read(), and decoded() gives such a row null columns and its error.
+read() decodes any GIF87a or GIF89a file; it restores the row order of interlaced frames and skips plain-text blocks.
+write() stores a payload of 8-bit samples as palette indices in frames 64 pixels wide, each LZW-coded, so that the
+joined samples of the decoded frames are the payload again. shown() renders a file's timed frames (palette,
+transparency, disposal of the frames before) with a colour histogram of each canvas; frames() makes them rows, and the
+feature of decoded() is the sum of those histograms, the number of frames and the time they take.
+
+Edge cases: a null or empty text has a payload of 64 zero bytes; equal texts give equal files; a damaged file, or one
+with a canvas of over MOST_PIXELS, raises GifError in read(), and decoded() and frames() give such a row null columns
+and its error; a null media value is such a file; repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ WIDTH, FRAME_ROWS, DELAY = 64, 512, 10
 CLEAR, END, FIRST = 256, 257, 258
 #: Codes between clears: the table never fills, so code widths follow from positions alone.
 RUN = 3836
+#: A header can claim any canvas of up to 65535 x 65535; larger ones than this are refused before memory is taken.
+MOST_PIXELS = 1 << 24
 
 
 class GifError(ValueError):
@@ -100,9 +105,10 @@ def lzw_decode(data: bytes, min_size: int, count: int) -> bytes:
     raw = np.frombuffer(data + bytes(3), np.uint8).astype(np.uint32)
     raw = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     out, made, at, total = [], 0, 0, 8 * len(data)
-    carried, shown = np.zeros(0, np.uint16), 0  # codes and samples since the last clear
+    makers = 4096 - end  # the codes after a clear that, with the one after them, make table entries
+    carried, since = np.zeros(0, np.uint32), 0  # those read so far, and all codes since the last clear
     while made < count:
-        n = np.arange(len(carried), len(carried) + min(4096, (total - at) // (min_size + 1) + 1))
+        n = np.arange(since, since + min(4096, (total - at) // (min_size + 1) + 1))
         width = code_widths(n, min_size)
         begin = at + np.concatenate([[0], np.cumsum(width)])
         fit = int(np.searchsorted(begin[1:], total, "right"))
@@ -113,22 +119,23 @@ def lzw_decode(data: bytes, min_size: int, count: int) -> bytes:
         stop = np.flatnonzero((codes == clear) | (codes == end))
         m = int(stop[0]) if len(stop) else fit
         run = np.concatenate([carried, codes[:m]])
-        if len(run):
-            got = expand(run, end + 1)[shown:]
+        if m:
+            got = expand(run, end + 1, len(carried))
             out.append(got)
-            made, shown = made + len(got), shown + len(got)
+            made += len(got)
         at = int(begin[m + 1] if len(stop) else begin[fit])
         if len(stop):
             if codes[m] == end:
                 break
-            carried, shown = np.zeros(0, np.uint16), 0
+            carried, since = carried[:0], 0
         else:
-            carried = run
+            carried, since = run[:makers], since + m
     return b"".join(out)[:count]
 
 
-def expand(codes: np.ndarray, first: int) -> bytes:
-    """The samples of the codes between two clears; entry first + j is code j's samples and the one after them."""
+def expand(codes: np.ndarray, first: int, skip: int = 0) -> bytes:
+    """The samples of the codes after the first skip ones; all stand after one clear. Entry first + j is code j's
+    samples and the one after them."""
     codes = codes.astype(np.int64)
     n = len(codes)
     entry = np.where(codes >= first, codes - first, np.arange(n))
@@ -150,7 +157,7 @@ def expand(codes: np.ndarray, first: int) -> bytes:
         source = further
     value = np.zeros(start[-1], np.uint8)
     value[start[:-1][literal]] = codes[literal]
-    return value[source].tobytes()
+    return value[source[start[skip] :]].tobytes()
 
 
 def blocks(data: bytes) -> bytes:
@@ -198,9 +205,12 @@ class Gif:
             h, w = f.samples.shape
             area = canvas[f.top : f.top + h, f.left : f.left + w]
             index = f.samples[: area.shape[0], : area.shape[1]]
-            seen = np.ones(index.shape, bool) if f.transparent is None else index != f.transparent
-            area[seen] = f.palette[index[seen]]
-            yield now, canvas.copy()
+            if f.transparent is None:
+                area[:] = f.palette[index]
+            else:
+                seen = index != f.transparent
+                area[seen] = f.palette[index[seen]]
+            yield now, canvas if f is self.frames[-1] else canvas.copy()
             now += f.delay
             if f.disposal == 2:
                 area[:] = self.background
@@ -219,6 +229,8 @@ def _read(data: bytes) -> Gif:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("no GIF signature")
     width, height, flags, back, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise GifError(f"a canvas of {width} x {height}")
     at, palette = 13, np.zeros((256, 3), np.uint8)
 
     def colours(at: int, bits: int) -> tuple[np.ndarray, int]:
@@ -267,15 +279,12 @@ def _read(data: bytes) -> Gif:
     return gif
 
 
-def histogram(gif: Gif) -> np.ndarray:
-    """Pixels by quarter of the red, green and blue range, over all rendered frames' own areas."""
-    out = np.zeros(12, np.int64)
-    for f in gif.frames:
-        seen = f.samples if f.transparent is None else f.samples[f.samples != f.transparent]
-        counts = np.bincount(seen.ravel(), minlength=256)
-        for c in range(3):
-            np.add.at(out, 4 * c + (f.palette[:, c] >> 6), counts)
-    return out
+def shown(gif: Gif) -> Iterator[tuple[int, Frame, np.ndarray, np.ndarray]]:
+    """Of each timed frame: start in hundredths of a second, frame, RGB canvas, and its pixels by quarter of the red,
+    green and blue range."""
+    for f, (start, rgb) in zip(gif.frames, gif.rendered(), strict=True):
+        quarters = (rgb >> 6).reshape(-1, 3)
+        yield start, f, rgb, np.concatenate([np.bincount(quarters[:, c], minlength=4) for c in range(3)])
 
 
 def padded(text: str) -> tuple[int, bytes]:
@@ -297,33 +306,42 @@ def store(docs: DataFrame) -> DataFrame:
     return common.materialize(common.texts(docs).mapInPandas(encoded, "doc_id long, n_bytes long, media binary"), "media")
 
 
+FRAME = "doc_id long, frame int, start_cs long, delay_cs int, width int, height int, rgb binary, histogram array<long>, error string"
+
+
 def frames(media: DataFrame) -> DataFrame:
-    """One row for each rendered frame of a media column: doc_id, frame, start_cs, delay_cs, width, height, rgb and its colour histogram."""
+    """One row for each rendered frame of a media column: doc_id, frame, start_cs, delay_cs, width, height, rgb and its
+    colour histogram; one row with the error of a file that cannot be read."""
 
-    def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in FRAME.split(", ")]
         for b in batches:
-            for doc, data in zip(b["doc_id"], b["media"], strict=True):
-                gif = read(bytes(data))
-                for i, (f, (start, rgb)) in enumerate(zip(gif.frames, gif.rendered(), strict=True)):
-                    hist = np.concatenate([np.bincount(rgb[..., c].ravel() >> 6, minlength=4) for c in range(3)])
-                    yield pd.DataFrame({"doc_id": [doc], "frame": [i], "start_cs": [start], "delay_cs": [f.delay], "width": [gif.width], "height": [gif.height], "rgb": [rgb.tobytes()], "histogram": [hist.tolist()]})
+            for doc, data in zip(b["doc_id"].astype("Int64"), b["media"], strict=True):
+                try:
+                    gif = read(b"" if data is None else bytes(data))
+                    made = ([doc, i, start, f.delay, gif.width, gif.height, rgb.tobytes(), hist, None] for i, (start, f, rgb, hist) in enumerate(shown(gif)))
+                    for row in made:  # a frame at a time, since a canvas may be large
+                        yield pd.DataFrame([row], columns=names).astype({"doc_id": "Int64"})
+                except GifError as e:
+                    yield pd.DataFrame([[doc, *[None] * 7, str(e)]], columns=names).astype({"doc_id": "Int64"})
 
-    return media.select("doc_id", "media").mapInPandas(shown, "doc_id long, frame int, start_cs long, delay_cs int, width int, height int, rgb binary, histogram array<long>")
+    return media.select("doc_id", "media").mapInPandas(rows, FRAME)
 
 
 def decoded(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, the digests of the samples read back and of the file, and the histogram feature."""
+    """doc_id, n_bytes, the digests of the samples read back and of the file, and the feature of the rendered frames."""
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc, n, data in zip(b["doc_id"], b["n_bytes"], b["media"], strict=True):
-                file = bytes(data)
+                file = b"" if data is None else bytes(data)
                 row = [doc, n, None, None, None, len(file), hashlib.sha256(file).hexdigest(), None, None]
                 try:
                     gif = read(file)
                     back = gif.samples()
-                    feature = ",".join(map(str, [*histogram(gif), len(gif.frames), sum(f.delay for f in gif.frames)]))
+                    hist = sum((h for *_, h in shown(gif)), np.zeros(12, np.int64))
+                    feature = ",".join(map(str, [*hist, len(gif.frames), sum(f.delay for f in gif.frames)]))
                     row[2:5], row[7] = [len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:])], feature
                 except GifError as e:
                     row[8] = str(e)
