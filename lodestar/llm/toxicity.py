@@ -7,11 +7,13 @@ toxic against other training texts, drawn to the overall odds where the word is
 calibrates the output (Platt scaling) and gives a threshold for each language. Max pooling over parts of a text and
 then over the parts is max pooling over the text, so texts of any length are scored whole in bounded memory.
 
-Fitting uses at most SAMPLE labelled texts (by hash of doc_id), the one bound here; scoring covers all rows.
+Fitting uses at most SAMPLE labelled texts (the doc_ids of the least hashes), the one bound here; scoring covers all rows.
 
-Edge cases: a null doc_id is held out; a null or empty text gets the score of pooled zeros; equal texts have equal scores; without toxic or
-without other training texts the score is their smoothed share; labels with a null are left out; extra columns and
-label rows without a document are ignored.
+Edge cases: a null doc_id is held out; a null or empty text gets the score of pooled zeros; equal texts have equal
+scores; without toxic or without other training texts the score is their smoothed share; labels with a null are left
+out; a doc_id with several labels has the greatest, one with several texts is fitted on the least of them; label rows
+without a document are ignored; extra columns are ignored in rated() and stay as they are in clean(), where a null
+language has the threshold of texts without one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -202,8 +204,10 @@ def threshold(scores: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Fit on at most sample labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
     marks = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(F.crc32(F.col("label_id").cast("string")) % 3 != 1)
-    picked = marks.dropDuplicates(["label_id"]).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    rows = common.texts(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "lang", "doc_id").orderBy("doc_id", "text").limit(2 * sample).toPandas()
+    picked = marks.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+    own = common.texts(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))  # sample rows
+    one = own.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r"), F.min("toxic").alias("toxic"))
+    rows = one.select("r.text", "toxic", "r.lang", "doc_id").orderBy("doc_id").toPandas()
     return fit(rows["text"].tolist(), rows["toxic"].tolist(), rows["lang"].tolist())
 
 
