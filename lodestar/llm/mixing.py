@@ -6,7 +6,8 @@ slot with its next block, and starts over at the end of its documents. Quotas in
 source gives its target to the word; the few slots that a source lacks at the end are appended.
 
 Edge cases: a null text has size 0; a null source is a source of its own and comes last; repeated rows count as often
-as they occur; a source without words takes nothing; an empty table gives an empty result.
+as they occur; a source without words takes nothing; a null doc_id is mixed like any other; extra columns, of any
+names, stay as they are in mixed() and are ignored in mix(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -118,7 +119,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 def mixed(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """The documents, all columns as they are, each as often as the mix takes its words, to the nearest whole number
     (repeated rows share what is taken of them)."""
-    uses = mix(docs, block).where("taken > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("mixed").alias("_mixed")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.withColumn("_key", key).join(uses, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_mixed")))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
+    key, doc, hashed, times, copy = common.fresh(docs, "key", "doc", "hashed", "times", "copy")
+    uses = mix(docs, block).where("taken > 0").groupBy(F.col("doc_id").alias(doc), F.col("mixed").alias(hashed)).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(times))
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = docs.withColumn(key, own).join(uses.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(hashed)))
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
