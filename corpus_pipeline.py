@@ -2,7 +2,12 @@
 their weights, and what stays is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it to the shared folder and reads it back
-as the next stage's docs. All stages but the last return the columns of documents.
+as the next stage's docs. All stages but the last return the columns of documents, whatever those are.
+
+Edge cases, by stage: a null text counts as an empty one and stays null; documents with a null doc_id are neither near
+copies nor have any, and are scored, masked, mixed and encoded like others; repeated rows stay or go together, and the
+mix takes each; texts without words are in no source's mix, so they end there; a very long text is worked on whole; an
+empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
