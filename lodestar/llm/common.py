@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +66,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """f for mapInPandas, giving its memory back to the system when a task ends: workers live on, and several stand in
+    one executor."""
+
+    @functools.wraps(f)
+    def g(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from f(batches)
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return g
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have in any case."""
     have = {c.lower() for c in df.columns}
@@ -77,7 +97,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 class WordHashes(dict):
     """XXH64 of words. Long words are computed anew each time, so that a bounded number of entries bounds memory."""
 
-    MOST, LONGEST = 300_000, 64
+    MOST, LONGEST = 100_000, 64
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)

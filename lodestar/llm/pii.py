@@ -395,9 +395,14 @@ def spans_of(at: int, tags: np.ndarray) -> Iterator[Span]:
 
 def all_spans(texts: list[str], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text."""
-    base = [base_spans(t) for t in texts]
-    out = []
-    for own, more in zip(base, tagged(texts, model), strict=True):
+    base, places = [base_spans(t) for t in texts], [reaches(t) for t in texts]
+    out, found, held = [], [], 0
+    for k, own in enumerate(places):  # texts together up to a bound on what is decoded
+        held += sum(hi - lo + WINDOW for lo, hi in own)
+        if held > 400_000 or k == len(texts) - 1:
+            found += tagged(texts[len(found) : k + 1], model, places[len(found) : k + 1])
+            held = 0
+    for own, more in zip(base, found, strict=True):
         starts, ends, far = [s[1] for s in own], [], 0
         for s in own:
             far = max(far, s[2])
@@ -427,7 +432,7 @@ def found(docs: DataFrame) -> DataFrame:
             out = {"doc_id": b["doc_id"].astype("Int64")} | {f"n_{k}": [sum(s[0] == k for s in a) for _, a in got] for k in KINDS}
             yield pd.DataFrame(out | {"base_sha256": [hashlib.sha256(written(s).encode()).hexdigest() for s, _ in got], "spans": [written(a) for _, a in got]})
 
-    return common.texts(docs).mapInPandas(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return common.texts(docs).mapInPandas(common.lean(rows), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask(text: str, spans: list[Span]) -> str:
@@ -456,4 +461,4 @@ def masked(docs: DataFrame) -> DataFrame:
                 b = b.assign(n_chars=pd.Series([len(n) if n != t else c for n, t, c in zip(new, texts, b["n_chars"], strict=True)], b.index))
             yield b
 
-    return docs.mapInPandas(rows, docs.schema)
+    return docs.mapInPandas(common.lean(rows), docs.schema)

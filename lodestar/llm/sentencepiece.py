@@ -85,7 +85,7 @@ class DoubleArray:
 
 
 class Model:
-    LIMIT, LONGEST = 400_000, 96  # units kept between texts, and the most bytes of one that is kept
+    LIMIT, LONGEST = 150_000, 96  # units kept between texts, and the most bytes of one that is kept
 
     def __init__(self, pieces: list[str], byte_ids: dict[int, int], special: set[int]):
         self.pieces, self.byte_ids, self.special = pieces, byte_ids, special
@@ -109,9 +109,12 @@ class Model:
         """Take other scores."""
         self.weights, self.scores = scores, scores.tolist()
         self.unknown = float(scores[self.plain].min(initial=0.0)) - PENALTY
+        self.forget()
+        return self
+
+    def forget(self) -> None:
         self.ids_of.clear()
         self.score_of.clear()
-        return self
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -238,8 +241,7 @@ class Model:
     def encode_many(self, texts: list[str]) -> list[tuple[list[int], float]]:
         ids_of, score_of, out = self.ids_of, self.score_of, []
         if len(ids_of) > self.LIMIT:
-            ids_of.clear()
-            score_of.clear()
+            self.forget()
         parts = [self.split(t) if t else [] for t in texts]
         new = list(set().union(*(p for t in parts for p in t)).difference(ids_of))
         for u, (ids, total) in zip(new, self.best_many(new), strict=True):
@@ -302,12 +304,12 @@ def unit_counts(docs: DataFrame, path: str) -> DataFrame:
                 for part in m.split(t) if t else ():
                     seen.update(part)
                 held += len(t)
-                if len(seen) > 300_000 or held > 64 << 20:
+                if len(seen) > 200_000 or held > 64 << 20:
                     yield flush()
                     held = 0
         yield flush()
 
-    return common.texts(docs).select("text").mapInPandas(rows, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return common.texts(docs).select("text").mapInPandas(common.lean(rows), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def fitted(docs: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -321,15 +323,25 @@ def fitted(docs: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
 
         def pieces(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             m = rated(path, shared.value)
-            total = np.zeros(len(m.pieces), np.int64)
+            total, units, times = np.zeros(len(m.pieces), np.int64), [], []
+
+            def add() -> None:
+                found = [ids for ids, _ in m.best_many(units)]
+                size = list(map(len, found))
+                np.add.at(total, np.fromiter(chain.from_iterable(found), np.int64, sum(size)), np.repeat(np.array(times, np.int64), size))
+                units.clear()
+                times.clear()
+
             for b in batches:
-                for (ids, _), n in zip(m.best_many(b["unit"].tolist()), b["n"].tolist(), strict=True):
-                    for i in ids:
-                        total[i] += n
+                units += b["unit"].tolist()
+                times += b["n"].tolist()
+                if len(units) > 30_000:
+                    add()
+            add()
             at = np.flatnonzero(total)
             yield pd.DataFrame({"piece": at.astype(np.int32), "n": total[at]})
 
-        found = units.mapInPandas(pieces, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        found = units.mapInPandas(common.lean(pieces), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         counts = np.zeros(len(scores))
         for r in found:
             counts[r["piece"]] = r["n"]
@@ -351,8 +363,9 @@ def encoded(docs: DataFrame, path: str, scores: np.ndarray | None = None) -> Dat
         for b in batches:
             made = m.encode_many(b["text"].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [np.array(i, np.int32) for i, _ in made], "score": [s for _, s in made]})
+        m.forget()
 
-    return common.texts(docs).mapInPandas(rows, "doc_id long, ids array<int>, score double")
+    return common.texts(docs).mapInPandas(common.lean(rows), "doc_id long, ids array<int>, score double")
 
 
 def digests(pieces: DataFrame, path: str) -> DataFrame:

@@ -248,7 +248,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 rows.append((digest(t), majority(h) if len(h) else 0, len(own), samples(own)))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype(np.int64), "th": [r[0] for r in rows], "fp": np.array([r[1] for r in rows], np.uint64).view(np.int64), "n": [r[2] for r in rows], "bands": [r[3] for r in rows]})
 
-    return common.texts(docs).where("doc_id is not null").mapInPandas(made, "doc_id long, th binary, fp long, n int, bands array<long>")
+    return common.texts(docs).where("doc_id is not null").mapInPandas(common.lean(made), "doc_id long, th binary, fp long, n int, bands array<long>")
 
 
 def digest(text: str) -> bytes:
@@ -380,7 +380,7 @@ def copy_groups(docs: DataFrame, first: DataFrame, shingle: int, similarity: flo
 
     # a plain shuffle at every size; of rows with one doc_id, those of the text that stands for it
     own = common.texts(docs).where("doc_id is not null").join(wanted.hint("merge"), F.col("doc_id") == F.col("d")).select("doc_id", "text", "t")
-    found = common.materialize(own.mapInPandas(sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "shingle-sets")
+    found = common.materialize(own.mapInPandas(common.lean(sets), "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "shingle-sets")
     common.sweep(spark)
     roots = common.materialize(components(verified(pairs, found, similarity)), "copy-roots")
     rest = common.materialize(found.join(left := unsettled(met, roots), "doc_id"), "unsettled-sets")

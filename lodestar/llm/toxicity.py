@@ -47,7 +47,7 @@ class Hasher:
 
     def __call__(self, text: str) -> np.ndarray:
         words, known = WORD.findall(text.lower()), self.known
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         for w in words:
             if w not in known:
@@ -226,7 +226,7 @@ def scored(docs: DataFrame, model: Classifier, *more: str) -> DataFrame:
     fields = [f for f in own.schema.fields if f.name != "text"]
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return own.mapInPandas(rows, StructType([*fields, StructField("score", DoubleType())]))
+    return own.mapInPandas(common.lean(rows), StructType([*fields, StructField("score", DoubleType())]))
 
 
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -249,4 +249,4 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             cut = np.array([m.thresholds.get(x, CUT) for x in b["lang"]])
             yield b[s < cut]
 
-    return docs.mapInPandas(rows, docs.schema)
+    return docs.mapInPandas(common.lean(rows), docs.schema)
