@@ -316,8 +316,9 @@ def common_shingles(own: DataFrame) -> np.ndarray:
 
 
 def prefixes(own: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, n, label and token. In any one order of all shingles, two sets of this similarity share one of each one's
-    first |s| - ceil(similarity |s|) + 1; with common shingles last, unlike texts seldom share one."""
+    """doc_id, n, label, token and at (its place in the set). In any one order of all shingles, two sets of this
+    similarity share one of each one's first |s| - ceil(similarity |s|) + 1; with common shingles last, unlike texts
+    seldom share one."""
     late = common_shingles(own)
     order = np.argsort(late)
     ascending = late[order]
@@ -332,23 +333,30 @@ def prefixes(own: DataFrame, similarity: float) -> DataFrame:
                     rank = np.where(ascending[at] == s, order[at] + 1, 0)
                 kept.append(s[np.lexsort((s, rank))][: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1])
             size = [len(k) for k in kept]
-            yield pd.DataFrame({"doc_id": b["doc_id"].repeat(size), "n": b["s"].map(len).repeat(size), "label": b["label"].repeat(size), "token": np.concatenate(kept) if kept else np.zeros(0, np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].repeat(size), "n": b["s"].map(len).repeat(size), "label": b["label"].repeat(size), "token": np.concatenate(kept) if kept else np.zeros(0, np.int64), "at": np.concatenate([np.arange(k) for k in size]) if size else np.zeros(0, np.int64)})
 
-    return own.mapInPandas(made, "doc_id long, n int, label long, token long")
+    return own.mapInPandas(common.lean(made), "doc_id long, n int, label long, token long, at int")
 
 
 def remaining(own: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of these documents that can have the similarity and lie in different components (label)."""
+    """All pairs of these documents that can have the similarity and lie in different components (label).
+
+    Sets of sizes x and y with the similarity share at least (x + y) similarity / (1 + similarity) shingles. All of them
+    stand at or after the first shared one, so that one has as many places left in each set; pairs are made only
+    under tokens of which this holds."""
     every = common.materialize(prefixes(own, similarity), "prefixes")
     split = common.materialize(every.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"), "split-tokens")
     tokens = common.materialize(every.join(split, "token", "left_semi"), "split-prefixes")
     # of two components that meet under a token, one at least is not the token's largest
     largest = tokens.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label")).alias("top")).select("token", F.col("top.label").alias("largest"))
     largest = common.materialize(largest, "largest")
-    fewer = tokens.join(largest, "token").where("label <> largest").select("token", F.struct("doc_id", "n").alias("x"), F.col("label").alias("lx"))
-    pairs = fewer.join(tokens.select("token", F.struct("doc_id", "n").alias("y"), F.col("label").alias("ly")), "token").where("lx <> ly")
+    fewer = tokens.join(largest, "token").where("label <> largest").select("token", F.struct("doc_id", "n").alias("x"), F.col("label").alias("lx"), (F.col("n") - F.col("at")).alias("rx"))
+    fewer = common.materialize(fewer, "fewer")
+    others = tokens.select("token", F.struct("doc_id", "n").alias("y"), F.col("label").alias("ly"), (F.col("n") - F.col("at")).alias("ry"))
+    shared = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-9
+    pairs = fewer.join(others, "token").where("lx <> ly").where(F.least("rx", "ry") >= shared)
     out = common.materialize(alike_in_size(pairs.select("x", "y"), similarity), "remaining")
-    for done in (every, split, tokens, largest):
+    for done in (every, split, tokens, largest, fewer):
         common.release(done)
     return out
 
