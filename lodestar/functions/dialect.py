@@ -140,15 +140,15 @@ def match_boolean(x, query: str) -> Column:
     """MATCH ... AGAINST in boolean mode: +word must and -word must not occur, word* is a prefix, "..." a phrase;
     without + words, any plain word suffices."""
     terms = [(m[1], m[2] or m[3]) for m in re.finditer(r'([+-]?)(?:"([^"]*)"|(\S+))', query)]
-    low, own = F.lower(_col(x)), tokens(x)
+    low = F.lower(_col(x))
 
     def one(term: str) -> Column:
         t = term.lower()
         if " " in t:
             return low.rlike(r"(?<!\w)" + r"\W+".join(map(re.escape, t.split())) + r"(?!\w)")
         if t.endswith("*"):
-            return F.exists(own, lambda w: w.startswith(t[:-1]))
-        return F.array_contains(own, t)
+            return F.contains(low, F.lit(t[:-1])) & low.rlike(rf"(?<!\w){re.escape(t[:-1])}")
+        return F.contains(low, F.lit(t)) & low.rlike(rf"(?<!\w){re.escape(t)}(?!\w)")
 
     must, never, may = ([one(t) for s, t in terms if s == sign] for sign in ("+", "-", ""))
     out = F.lit(True)
@@ -167,4 +167,4 @@ def match_boolean(x, query: str) -> Column:
 def match_any(x, query: str) -> Column:
     """Natural language mode: any word of the query occurs."""
     words = sorted({w for w in re.split(r"\W+", query.lower()) if w})
-    return F.arrays_overlap(tokens(x), F.array(*map(F.lit, words)))
+    return F.lower(_col(x)).rlike(rf"(?<!\w)(?:{'|'.join(map(re.escape, words))})(?!\w)") if words else F.lit(False)

@@ -45,6 +45,14 @@ class TypeNotFound(LodestarError):
     pass
 
 
+class TypeExists(LodestarError):
+    pass
+
+
+class ColumnNotFound(LodestarError):
+    pass
+
+
 class TypeInUse(LodestarError):
     pass
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.plans import dialect
 from lodestar.session import with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -13,8 +14,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def sql(name: str, text: str, oracle: str | None = None) -> None:
-    """A query in SQL; oracle is given where the second engine spells it otherwise."""
-    QUERIES[name] = lambda spark, sf_dir: with_tables(spark, sf_dir, text).sql(text)
+    """A query in SQL, through the dialect front end; oracle is given where the second engine spells it otherwise."""
+    QUERIES[name] = lambda spark, sf_dir: dialect.query(with_tables(spark, sf_dir, text), text)
     ORACLE_SQL[name] = oracle or text
 
 

@@ -103,17 +103,6 @@ def regex_replace_flags(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", D.regex_replace("p_name", "[aeiou]", "*").alias("one"), D.regex_replace("p_name", "[AEIOU]", "*", "gi").alias("every"))
 
 
-@frame("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' WHEN 'P' THEN 'partial' END AS status FROM orders")
-def enum_name(spark, sf_dir):
-    code = F.array_position(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("o_orderstatus")) - 1
-    return table(spark, sf_dir, "orders").select("o_orderkey", D.enum_name(code, ["done", "open", "partial"]).alias("status"))
-
-
-@frame("SELECT p_partkey, p_size & 5 AS bits, (p_size & 4) <> 0 AS has_four FROM part")
-def flag_enum_mask(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").bitwiseAND(F.lit(5)).alias("bits"), (F.col("p_size").bitwiseAND(F.lit(4)) != 0).alias("has_four"))
-
-
 @frame("SELECT doc_id FROM documents WHERE REGEXP_MATCHES(LOWER(text), '(^|[^a-z0-9_])(the|und)([^a-z0-9_]|$)')")
 def text_match_natural(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(D.match_any("text", "the und")).select("doc_id")

@@ -1,13 +1,16 @@
-"""Tables as Parquet snapshots under one folder, with a JSON manifest: row DML, constraints, references, grants,
-transactions, enums and time travel.
+"""Tables as Parquet snapshots under one folder, with JSON manifests: row DML, constraints, references, grants,
+transactions, enums, views and time travel.
 
-A change writes a new snapshot and then moves the manifest's pointer, so readers see the table before or after it.
-Reading an earlier snapshot is reading its folder. Every row has objid, a stable identity.
+A snapshot is a list of files and folders. INSERT adds a folder; UPDATE and DELETE write anew only the files that hold
+rows concerned and keep the others; constraints are checked on the rows written, unique keys also against the files
+kept. A change is seen once its manifest, numbered after the one it was read from, is created; of two writers that
+start from one manifest the second is refused. Every row has objid, a stable identity.
 """
 
 from __future__ import annotations
 
 import copy
+import datetime
 import json
 import uuid
 from dataclasses import asdict, dataclass, field
@@ -15,7 +18,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.plans import dialect, errors
+from lodestar.plans import dialect, errors, statements
 
 TYPES = {
     "tinyint": "tinyint", "smallint": "smallint", "mediumint": "int", "int": "int", "integer": "int", "bigint": "bigint", "int16": "bigint", "int32": "bigint", "int64": "bigint", "int128": "bigint", "int256": "bigint",
@@ -55,6 +58,8 @@ class Column:
     nullable: bool = True
     references: str | None = None
     on_delete: str = "restrict"
+    on_update: str = "restrict"
+    default: str | None = None  # an SQL expression
 
 
 @dataclass
@@ -64,8 +69,12 @@ class Table:
     versioned: bool = False
     unique: list[list[str]] = field(default_factory=list)
     checks: list[str] = field(default_factory=list)
-    snapshots: list[str] = field(default_factory=list)
+    snapshots: list[list[str]] = field(default_factory=list)
+    times: list[str] = field(default_factory=list)  # when each snapshot was made, UTC
     next_id: int = 1
+    database: str = "app"
+    temporary: str | None = None  # what becomes of it on commit: preserve, delete or drop
+    indexes: dict[str, dict] = field(default_factory=dict)
 
 
 class Engine:
@@ -73,41 +82,61 @@ class Engine:
         self.spark, self.folder, self.user = spark, folder.rstrip("/"), user
         self.tables: dict[str, Table] = {}
         self.enums: dict[str, dict] = {}
-        self.grants: set[tuple[str, str, str]] = set()
+        self.composites: dict[str, list[list[str]]] = {}
+        self.views: dict[str, dict] = {}
+        self.names: dict[str, list[str]] = {"database": ["app"], "schema": [], "user": ["root"]}
+        self.database = "app"
+        self.grants: set[tuple[str, str, str, str]] = set()  # user, object, privilege, column (empty: all)
         self.stack: list[tuple[str | None, str, dict]] = []  # name, transaction or savepoint, state before
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest.json")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            self._restore(json.loads(spark.read.text(str(path), wholetext=True).first()[0]))
+        self.number, self.read_only = 0, False
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(self.folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [f.getPath().getName() for f in fs.globStatus(hadoop.Path(f"{self.folder}/manifest-*.json")) or []]
+        if found:
+            self.number = max(int(n[9:-5]) for n in found)
+            self._restore(json.loads(spark.read.text(f"{self.folder}/manifest-{self.number:09d}.json", wholetext=True).first()[0]))
 
     # --- catalog ---------------------------------------------------------------------------------------------------
 
     def _state(self) -> dict:
-        return {"tables": {n: asdict(t) for n, t in self.tables.items()}, "enums": self.enums, "grants": sorted(self.grants)}
+        return {
+            "tables": {n: asdict(t) for n, t in self.tables.items()}, "enums": copy.deepcopy(self.enums), "composites": copy.deepcopy(self.composites),
+            "views": copy.deepcopy(self.views), "names": copy.deepcopy(self.names), "grants": sorted(self.grants),
+        }
 
     def _restore(self, state: dict) -> None:
         state = copy.deepcopy(state)
         self.tables = {n: Table(**{**t, "columns": [Column(**c) for c in t["columns"]]}) for n, t in state["tables"].items()}
-        self.enums, self.grants = state["enums"], {tuple(g) for g in state["grants"]}
+        self.enums, self.composites, self.views, self.names = state["enums"], state["composites"], state["views"], state["names"]
+        self.grants = {tuple(g) for g in state["grants"]}
 
     def _save(self) -> None:
-        """Write the manifest beside the old one and rename it into place; inside a transaction nothing is written."""
+        """Create the next manifest, which no other writer may have made; inside a transaction nothing is written."""
         if any(kind == "transaction" for _, kind, _ in self.stack):
             return
         hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
-        part, final = hadoop.Path(f"{self.folder}/manifest.{uuid.uuid4().hex}"), hadoop.Path(f"{self.folder}/manifest.json")
+        part, final = hadoop.Path(f"{self.folder}/part-{uuid.uuid4().hex}"), hadoop.Path(f"{self.folder}/manifest-{self.number + 1:09d}.json")
         fs = part.getFileSystem(conf)
+        if fs.exists(final):
+            raise errors.TransactionError("another writer changed the tables")
         out = fs.create(part, True)
         out.write(bytearray(json.dumps(self._state()).encode()))
         out.close()
-        fs.delete(final, False)
-        fs.rename(part, final)
+        if not fs.rename(part, final):
+            fs.delete(part, False)
+            raise errors.TransactionError("another writer changed the tables")
+        self.number += 1
+        old = hadoop.Path(f"{self.folder}/manifest-{self.number - 2:09d}.json")  # the one before stays for readers
+        if fs.exists(old):
+            fs.delete(old, False)
 
     def get(self, name: str) -> Table:
         if name.lower() not in self.tables:
             raise errors.TableNotFound(name)
         return self.tables[name.lower()]
 
-    def create_table(self, name: str, columns: list[Column | tuple], flat: bool = False, versioned: bool = False, unique: list[list[str]] = (), checks: list[str] = (), if_not_exists: bool = False) -> None:
+    def create_table(self, name: str, columns: list[Column | tuple], flat: bool = False, versioned: bool = False, unique: list[list[str]] = (), checks: list[str] = (), if_not_exists: bool = False, temporary: str | None = None) -> None:
         key = name.lower()
         if key in self.tables:
             if if_not_exists:
@@ -119,13 +148,18 @@ class Engine:
         if flat and (versioned or any(c.references for c in cols)):
             raise errors.ConstraintViolation("a FLAT table has neither versions nor references")
         for c in cols:
-            if c.type.lower() not in self.enums:
-                spark_type(c.type)
-        self.tables[key] = Table(cols, flat, versioned, [list(u) for u in unique], list(checks))
+            if c.references:
+                if c.references.lower() != key:
+                    self.get(c.references)
+            elif c.type.lower() not in self.enums:
+                self._type(c)
+        self.tables[key] = Table(cols, flat, versioned, [list(u) for u in unique], list(checks), database=self.database, temporary=temporary)
         self._save()
 
     def drop_table(self, name: str) -> None:
         self.get(name)
+        if any((c.references or "").lower() == name.lower() for n, t in self.tables.items() if n != name.lower() for c in t.columns):
+            raise errors.ReferentialIntegrityViolation(f"a column references {name}")
         del self.tables[name.lower()]
         self._save()
 
@@ -147,6 +181,8 @@ class Engine:
         self._write(to or name, df)
 
     def create_enum(self, name: str, variants: list[str], flag: bool = False) -> None:
+        if name.lower() in {*self.enums, *self.composites}:
+            raise errors.TypeExists(name)
         low = [v.lower() for v in variants]
         if not variants or len(set(low)) < len(low):
             raise errors.InvalidEnumValue("variants must be given, and each once")
@@ -178,20 +214,126 @@ class Engine:
         return F.when(c == 0, F.lit("NONE")).when(c != 0, F.concat_ws("|", *parts))
 
     def _type(self, c: Column) -> str:
-        return "bigint" if c.type.lower() in self.enums or c.references and not c.type.startswith("[") else spark_type(c.type)
+        if c.type.lower() in self.enums or c.references and not c.type.startswith("["):
+            return "bigint"
+        if c.references:
+            return "array<bigint>"
+        return self.type_name(c.type)
+
+    def type_name(self, name: str) -> str:
+        """The Spark type of a dialect type, composite types included."""
+        if name.lower() in self.composites:
+            return "struct<" + ", ".join(f"{n}: {self.type_name(t)}" for n, t in self.composites[name.lower()]) + ">"
+        if name.startswith("[") and name.endswith("]"):
+            return f"array<{self.type_name(name[1:-1])}>"
+        return spark_type(name)
+
+    def create_composite(self, name: str, fields: list[tuple[str, str]]) -> None:
+        if name.lower() in {*self.enums, *self.composites}:
+            raise errors.TypeExists(name)
+        for _, t in fields:
+            self.type_name(t)
+        self.composites[name.lower()] = [list(f) for f in fields]
+        self._save()
+
+    def drop_composite(self, name: str) -> None:
+        if name.lower() not in self.composites:
+            raise errors.TypeNotFound(name)
+        if any(c.type.lower().strip("[]") == name.lower() for t in self.tables.values() for c in t.columns):
+            raise errors.TypeInUse(name)
+        del self.composites[name.lower()]
+        self._save()
+
+    def add_name(self, kind: str, name: str) -> None:
+        """A database, schema or user."""
+        if name.lower() in self.names[kind]:
+            raise errors.ConstraintViolation(f"{kind} {name} exists")
+        self.names[kind].append(name.lower())
+        self._save()
+
+    def drop_name(self, kind: str, name: str) -> None:
+        self.need_name(kind, name)
+        if kind == "database" and any(t.database == name.lower() for t in self.tables.values()):
+            raise errors.ConstraintViolation(f"database {name} has tables")
+        self.names[kind].remove(name.lower())
+        self._save()
+
+    def need_name(self, kind: str, name: str) -> None:
+        if name.lower() not in self.names[kind]:
+            raise errors.TableNotFound(f"{kind} {name}")
+
+    def create_index(self, name: str, table: str, columns: list[str], kind: str = "btree", unique: bool = False) -> None:
+        """Write the table sorted by the index's columns, so that Parquet's statistics skip files and row groups for
+        them, and record the index. Later inserts add files of their own."""
+        t = self.get(table)
+        if any(name.lower() in x.indexes for x in self.tables.values()):
+            raise errors.ConstraintViolation(f"index {name} exists")
+        known = {c.name.lower() for c in t.columns}
+        for c in columns:
+            if c.lower() not in known:
+                raise errors.ColumnNotFound(f"{table}.{c}")
+        df = self.read(table)
+        if unique:
+            if df.dropna(subset=columns).groupBy(*columns).count().where("count > 1").take(1):
+                raise errors.ConstraintViolation(f"{table}: {columns} is not unique")
+            t.unique.append(list(columns))
+        t.indexes[name.lower()] = {"columns": list(columns), "kind": kind.lower()}
+        self._write(table, df.repartitionByRange(*columns).sortWithinPartitions(*columns) if t.snapshots and kind.lower() == "btree" else df)
+
+    def drop_index(self, name: str) -> None:
+        for t in self.tables.values():
+            if t.indexes.pop(name.lower(), None):
+                self._save()
+                return
+        raise errors.TableNotFound(f"index {name}")
+
+    # --- views -------------------------------------------------------------------------------------------------------
+
+    def create_view(self, name: str, text: str, materialized: bool = False, replace: bool = False) -> None:
+        """A materialized view keeps the rows of its query in a table of its own until refresh()."""
+        if name.lower() in self.tables or name.lower() in self.views and not replace:
+            raise errors.ConstraintViolation(f"{name} exists")
+        self.views[name.lower()] = {"text": text, "path": None}
+        if materialized:
+            self.refresh(name)
+        else:
+            self.sql(text)  # the analyser refuses what cannot be read
+            self._save()
+
+    def refresh(self, name: str) -> None:
+        if name.lower() not in self.views:
+            raise errors.TableNotFound(name)
+        view, path = self.views[name.lower()], f"{self.folder}/views/{uuid.uuid4().hex}"
+        self.sql(view["text"]).write.parquet(path)
+        view["path"] = path
+        self._save()
+
+    def drop_view(self, name: str) -> None:
+        if self.views.pop(name.lower(), None) is None:
+            raise errors.TableNotFound(name)
+        self._save()
 
     # --- grants ----------------------------------------------------------------------------------------------------
 
-    def grant(self, user: str, name: str, *privileges: str) -> None:
-        self.grants |= {(user, name.lower(), p.upper()) for p in privileges}
+    def grant(self, user: str, name: str, *privileges: str, columns: list[str] = ()) -> None:
+        self.grants |= {(user, name.lower(), p.upper(), c.lower()) for p in privileges for c in (columns or [""])}
         self._save()
 
-    def revoke(self, user: str, name: str, *privileges: str) -> None:
-        self.grants -= {(user, name.lower(), p.upper()) for p in privileges}
+    def revoke(self, user: str, name: str, *privileges: str, columns: list[str] = ()) -> None:
+        gone = {p.upper() for p in privileges}
+        self.grants = {g for g in self.grants if not (g[0] == user and g[1] == name.lower() and (g[2] in gone or "ALL" in gone) and (not columns or g[3] in [c.lower() for c in columns]))}
         self._save()
 
-    def need(self, name: str, privilege: str) -> None:
-        if self.user != "root" and (self.user, name.lower(), privilege) not in self.grants:
+    def allowed(self, name: str, privilege: str) -> set[str] | None:
+        """None: every column; else those granted."""
+        own = {g[3] for g in self.grants if g[:2] == (self.user, name.lower()) and g[2] in (privilege, "ALL")}
+        return None if self.user == "root" or "" in own else own
+
+    def need(self, name: str, privilege: str, columns: list[str] | None = None) -> None:
+        if self.read_only and privilege != "SELECT":
+            raise errors.TransactionError("the transaction is read only")
+        own = self.allowed(name, privilege)
+        if own is not None and (not own or columns is None or not {c.lower() for c in columns} <= own):
             raise errors.PermissionDenied(f"{privilege} on {name} for {self.user}")
 
     # --- reading and writing ---------------------------------------------------------------------------------------
@@ -204,36 +346,46 @@ class Engine:
         t = self.get(name)
         if version is not None and not 1 <= version <= len(t.snapshots):
             raise errors.TableNotFound(f"{name} has no version {version}")
-        if not t.snapshots:
+        files = (t.snapshots[-1] if version is None else t.snapshots[version - 1]) if t.snapshots else []
+        if not files:
             return self.spark.createDataFrame([], self.schema(name))
-        return self.spark.read.schema(self.schema(name)).parquet(t.snapshots[-1 if version is None else version - 1]) if version is None else self.spark.read.parquet(t.snapshots[version - 1])
+        return self.spark.read.schema(self.schema(name)).parquet(*files) if version is None else self.spark.read.parquet(*files)
+
+    def version_at(self, name: str, time: str) -> int:
+        """The number of the snapshot that held at a time (UTC), 0 before the first."""
+        at = datetime.datetime.fromisoformat(time).replace(tzinfo=None).isoformat()
+        return sum(x <= at for x in self.get(name).times)
 
     def history(self, name: str) -> DataFrame:
-        """All versions of all rows, with the snapshots between which each held."""
+        """All versions of all rows, with the snapshots between which each held: runs of snapshots without a gap."""
         t = self.get(name)
-        parts = [self.spark.read.parquet(p).withColumn("version", F.lit(i)) for i, p in enumerate(t.snapshots, 1)]
-        if not parts:
+        versions = [self.read(name, i).withColumn("version", F.lit(i)) for i, files in enumerate(t.snapshots, 1) if files]
+        if not versions:
             return self.read(name).withColumns({"valid_from": F.lit(1), "valid_to": F.lit(None).cast("int")})
-        out = parts[0]
-        for p in parts[1:]:
+        out = versions[0]
+        for p in versions[1:]:
             out = out.unionByName(p, allowMissingColumns=True)
         names = ["objid", *(c.name for c in t.columns)]
-        spans = out.groupBy(*names).agg(F.min("version").alias("valid_from"), F.max("version").alias("last"))
-        return spans.withColumn("valid_to", F.when(F.col("last") < len(t.snapshots), F.col("last") + 1)).drop("last")
+        rank = F.row_number().over(Window.partitionBy(*names).orderBy("version"))  # a row's own versions
+        spans = out.select(*names, "version").withColumn("run", F.col("version") - rank).groupBy(*names, "run").agg(F.min("version").alias("valid_from"), F.max("version").alias("last"))
+        return spans.withColumn("valid_to", F.when(F.col("last") < len(t.snapshots), F.col("last") + 1)).drop("last", "run")
 
-    def _write(self, name: str, df: DataFrame) -> None:
+    def _write(self, name: str, df: DataFrame, kept: list[str] = (), again: set[str] | None = None, ids: int = 0) -> None:
+        """A snapshot of the files kept and of df's rows. again: the columns whose values may be new (None: all)."""
         t = self.get(name)
         path = f"{self.folder}/{name.lower()}/{uuid.uuid4().hex}"
-        df.select("objid", *(F.col(c.name).cast(self._type(c)).alias(c.name) for c in t.columns)).write.parquet(path)
-        written = self.spark.read.parquet(path)
-        self._check(name, written)
-        t.snapshots.append(path)
+        df.select("objid", *(F.col(f"`{c.name}`").cast(self._type(c)).alias(c.name) for c in t.columns)).write.parquet(path)
+        self._check(name, self.spark.read.schema(self.schema(name)).parquet(path), kept, again)
+        t.snapshots.append([*kept, path])
+        t.times.append(datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None).isoformat())
+        t.next_id += ids
         self._save()
 
-    def _check(self, name: str, df: DataFrame) -> None:
-        """One pass for the row conditions, one for each unique key, one for each reference."""
+    def _check(self, name: str, df: DataFrame, kept: list[str], again: set[str] | None) -> None:
+        """Of the rows written: one pass for the row conditions, one for each unique key, one for each reference."""
         t = self.get(name)
-        tests = {f"{c.name} is null": F.col(c.name).isNull() for c in t.columns if not c.nullable}
+        new = lambda names: again is None or bool({n.lower() for n in names} & again)
+        tests = {f"{c.name} is null": F.col(f"`{c.name}`").isNull() for c in t.columns if not c.nullable and new([c.name])}
         for text in [*t.checks, *(x for c in t.columns if (x := type_check(c.type, f"`{c.name}`")))]:
             tests[f"not ({text})"] = ~F.coalesce(F.expr(text), F.lit(True))
         for c in t.columns:
@@ -250,14 +402,35 @@ class Engine:
                 if counts[i]:
                     raise (errors.NullConstraintViolation if what.endswith("is null") else errors.ConstraintViolation)(f"{name}: {counts[i]} rows where {what}")
         for u in t.unique:
-            if df.dropna(subset=u).groupBy(*u).count().where("count > 1").take(1):
+            if not new(u):
+                continue
+            keys = df.dropna(subset=u).select(*u)
+            twice = keys.groupBy(*u).count().where("count > 1").take(1)
+            if twice or kept and keys.join(self.spark.read.schema(self.schema(name)).parquet(*kept).select(*u), u, "left_semi").take(1):
                 raise errors.ConstraintViolation(f"{name}: {u} is not unique")
         for c in t.columns:
-            if c.references:
-                child = df.select(F.explode(c.name) if c.type.startswith("[") else F.col(c.name)).toDF("ref").where("ref is not null")
-                if child.join(self.read(c.references).select(F.col("objid").alias("ref")), "ref", "left_anti").take(1):
+            if c.references and new([c.name]):
+                child = df.select(F.explode(c.name) if self._type(c).startswith("array") else F.col(c.name)).toDF("ref").where("ref is not null")
+                parent = self.read(c.references).select(F.col("objid").alias("ref"))
+                if c.references.lower() == name.lower():
+                    parent = parent.unionByName(df.select(F.col("objid").alias("ref")))
+                if child.join(parent, "ref", "left_anti").take(1):
                     raise errors.ReferentialIntegrityViolation(f"{name}.{c.name} has no such {c.references}")
 
+    def _touched(self, name: str, hit) -> tuple[list[str], list[str], int]:
+        """Files that hold rows that meet hit, the others, and the number of those rows."""
+        df = self.read(name)
+        if not self.get(name).snapshots:
+            return [], [], 0
+        found = {r["f"]: r["n"] for r in df.where(hit).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect()}  # a row for each file
+        same = lambda f: f.split(":", 1)[-1].lstrip("/")
+        touched = {same(f) for f in found}
+        files = df.inputFiles()
+        return [f for f in files if same(f) in touched], [f for f in files if same(f) not in touched], sum(found.values())
+
+    def _default(self, c: Column) -> F.Column:
+        return F.expr(c.default).cast(self._type(c)) if c.default else F.lit(None).cast(self._type(c))
+
     def insert(self, name: str, rows: DataFrame | list[dict]) -> int:
         """Rows lack what they do not name: null. objid is given here and may not be named."""
         self.need(name, "INSERT")
@@ -270,7 +443,10 @@ class Engine:
             rows = self.spark.createDataFrame([tuple(r.get(c.name) for c in t.columns) for r in rows], plain)
         if "objid" in rows.columns:
             raise errors.ConstraintViolation("objid cannot be inserted")
-        rows = rows.select(*(F.col(c.name) if c.name in rows.columns else F.lit(None).cast(self._type(c)).alias(c.name) for c in t.columns))
+        have = {c.lower(): c for c in rows.columns}
+        if set(have) - {c.name.lower() for c in t.columns}:
+            raise errors.ColumnNotFound(f"{name}: {sorted(set(have) - {c.name.lower() for c in t.columns})}")
+        rows = rows.select(*(F.col(f"`{have[c.name.lower()]}`").alias(c.name) if c.name.lower() in have else self._default(c).alias(c.name) for c in t.columns))
         staged = f"{self.folder}/staged/{uuid.uuid4().hex}"
         rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).write.parquet(staged)
         rows = self.spark.read.parquet(staged)
@@ -279,37 +455,49 @@ class Engine:
         for part, n in sizes:
             starts.append((part, t.next_id + total))
             total += n
-        if not total:
-            return 0
-        first = self.spark.createDataFrame(starts, "_part int, _first bigint")
-        numbered = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_at"))).join(F.broadcast(first), "_part")
-        numbered = numbered.withColumn("objid", F.col("_first") + F.col("_rank") - 1).drop("_part", "_at", "_rank", "_first")
-        self._write(name, self.read(name).unionByName(numbered))
-        t.next_id += total
-        self._save()
+        if total:
+            first = self.spark.createDataFrame(starts, "_part int, _first bigint")
+            numbered = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_at"))).join(F.broadcast(first), "_part")
+            numbered = numbered.withColumn("objid", F.col("_first") + F.col("_rank") - 1).drop("_part", "_at", "_rank", "_first")
+            self._write(name, numbered, t.snapshots[-1] if t.snapshots else (), ids=total)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return total
 
     def update(self, name: str, changes: dict, where: str | None = None) -> int:
-        self.need(name, "UPDATE")
-        if "objid" in changes:
+        """Only files with rows that meet the condition are written anew."""
+        self.need(name, "UPDATE", list(changes))
+        if "objid" in {c.lower() for c in changes}:
             raise errors.ConstraintViolation("objid cannot be updated")
-        df = self.read(name)
+        known = {c.name.lower(): c for c in self.get(name).columns}
+        for c in changes:
+            if c.lower() not in known:
+                raise errors.ColumnNotFound(f"{name}.{c}")
         hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
-        n = df.where(hit).count()
-        new = {c: F.when(hit, v if hasattr(v, "cast") else F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()}
-        self._write(name, df.withColumns(new))
+        touched, kept, n = self._touched(name, hit)
+        if n:
+            new = {known[c.lower()].name: F.when(hit, v if hasattr(v, "cast") else F.lit(v)).otherwise(F.col(f"`{known[c.lower()].name}`")) for c, v in changes.items()}
+            self._write(name, self.spark.read.schema(self.schema(name)).parquet(*touched).withColumns(new), kept, {c.lower() for c in changes})
         return n
 
     def delete(self, name: str, where: str | None = None) -> int:
-        """Rows that meet the condition; what references them follows its rule."""
+        """Rows that meet the condition; what references them follows its rule. All of it is seen at once, or none."""
         self.need(name, "DELETE")
-        df = self.read(name)
         hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
-        gone = df.where(hit).select(F.col("objid").alias("gone"))
-        n = gone.count()
+        touched, kept, n = self._touched(name, hit)
         if n:
-            self._follow(name, gone)
-            self._write(name, df.where(~hit))
+            rows = self.spark.read.schema(self.schema(name)).parquet(*touched)
+            self.begin()
+            try:
+                self._follow(name, rows.where(hit).select(F.col("objid").alias("gone")))
+                if self.get(name).snapshots[-1] and self.stack[-1][2]["tables"][name.lower()]["snapshots"] != self.get(name).snapshots:  # a reference to itself
+                    touched, kept, _ = self._touched(name, hit)
+                    rows = self.spark.read.schema(self.schema(name)).parquet(*touched) if touched else rows.limit(0)
+                self._write(name, rows.where(~hit), kept, set())
+            except Exception:
+                self.rollback()
+                raise
+            self.commit()
         return n
 
     def _follow(self, name: str, gone: DataFrame) -> None:
@@ -324,10 +512,11 @@ class Engine:
                 rule = c.on_delete.lower()
                 if rule == "cascade":
                     self._follow(other, hit.select(F.col("objid").alias("gone")))
-                    self._write(other, self.read(other).join(gone, F.col(c.name) == F.col("gone"), "left_anti"))
+                    self._write(other, self.read(other).join(gone, F.col(c.name) == F.col("gone"), "left_anti"), (), set())
                 elif rule in ("set null", "set default"):
                     mark = child.join(gone, F.col(c.name) == F.col("gone"), "left")
-                    self._write(other, mark.withColumn(c.name, F.when(F.col("gone").isNull(), F.col(c.name))).drop("gone"))
+                    new = self._default(c) if rule == "set default" else F.lit(None).cast("bigint")
+                    self._write(other, mark.withColumn(c.name, F.when(F.col("gone").isNull(), F.col(c.name)).otherwise(new)).drop("gone"), (), {c.name.lower()})
                 else:
                     raise errors.ReferentialIntegrityViolation(f"{other}.{c.name} still names rows of {name}")
 
@@ -370,13 +559,13 @@ class Engine:
     # --- queries and transactions ----------------------------------------------------------------------------------
 
     def sql(self, text: str) -> DataFrame:
-        """A SELECT in the dialect over this engine's tables."""
-        for name, t in self.tables.items():
-            if name in text.lower():
-                self.need(name, "SELECT")
-                df = self.read(name)
-                df.drop("objid").createOrReplaceTempView(name) if t.flat else df.createOrReplaceTempView(name)
-        return self.spark.sql(dialect.rewrite(text, {n: dialect.TableFacts(flat=t.flat) for n, t in self.tables.items()}))
+        """A SELECT in the dialect over this engine's tables and views."""
+        return statements.select(self, text)
+
+    def execute(self, text: str) -> list:
+        """Statements in the dialect, one after another: a DataFrame for a query, a number of rows for INSERT, UPDATE
+        and DELETE, None for others."""
+        return [statements.run(self, s) for s in dialect.statements(text)]
 
     def begin(self, name: str | None = None) -> None:
         if name and any(n == name for n, _, _ in self.stack):
@@ -391,8 +580,22 @@ class Engine:
     def commit(self, name: str | None = None) -> None:
         """The innermost transaction, which must bear the name if one is given."""
         self._close(name)
+        if not self.stack:
+            for n, t in list(self.tables.items()):
+                if t.temporary == "drop":
+                    del self.tables[n]
+                elif t.temporary == "delete" and t.snapshots:
+                    t.snapshots.append([])
+                    t.times.append(t.times[-1])
         self._save()
 
+    def release(self, name: str) -> None:
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][:2] == (name, "savepoint"):
+                del self.stack[i]
+                return
+        raise errors.TransactionError(f"no savepoint {name}")
+
     def rollback(self, name: str | None = None) -> None:
         self._restore(self._close(name))
         self._save()
@@ -411,6 +614,6 @@ class Engine:
             raise errors.TransactionError("no transaction is open")
         if name and self.stack[at][0] != name:
             raise errors.TransactionError(f"{name} is not the innermost transaction")
-        state = self.stack[at][2]
+        state, self.read_only = self.stack[at][2], False
         del self.stack[at:]
         return state
