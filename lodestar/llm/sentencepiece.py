@@ -3,7 +3,7 @@
 The pieces come from a model file; their scores are log probabilities fitted here. A space becomes the marker U+2581
 and the text gets one marker in front, as the model expects. The best segmentation maximises the sum of scores; a
 character that no piece covers costs the least score less 10 and becomes one piece for each of its UTF-8 bytes. No
-piece holds a marker after another character, nor a character outside the pieces' alphabet, so a text falls into units
+piece holds a marker after another character, a character outside the pieces' alphabet, or certain marks next to a letter, so a text falls into units
 that are segmented on their own and remembered. decode() joins pieces and bytes and turns markers back to spaces; a
 marker that stood in the text itself is encoded by its bytes, so every text comes back as it was.
 
@@ -85,7 +85,7 @@ class DoubleArray:
 
 
 class Model:
-    LIMIT, LONGEST = 150_000, 96  # units kept between texts, and the most bytes of one that is kept
+    LIMIT, LONGEST = 250_000, 96  # units kept between texts, and the most bytes of one that is kept
 
     def __init__(self, pieces: list[str], byte_ids: dict[int, int], special: set[int]):
         self.pieces, self.byte_ids, self.special = pieces, byte_ids, special
@@ -97,7 +97,15 @@ class Model:
         self.plain = np.array(sorted(plain.values()), np.int64)
         alphabet = {c for p in plain for c in p.decode()}
         outside = "".join(c for c in "\t\n\r" if c not in alphabet)
-        self.units = re.compile(f"{MARK}*[^{MARK}{outside}]+|{MARK}+|[{outside}]+" if outside else f"{MARK}*[^{MARK}]+|{MARK}+")
+        inside = {p[i : i + 2] for p in map(bytes.decode, plain) for i in range(len(p) - 1)}  # pairs that some piece spans
+        marks = sorted(c for c in alphabet if not c.isalnum() and c != MARK)
+        after, before = ({x[i] for x in inside if x[1 - i].isalnum()} for i in (1, 0))  # what pieces join to a letter or digit
+        tail, head = ("".join(map(re.escape, (c for c in marks if c not in own))) for own in (after, before))
+        units = [f"{MARK}*[^{MARK}{outside}]+", f"{MARK}+", *([f"[{outside}]+"] if outside else [])]
+        if tail:  # a word ends before a mark that no piece joins to it, and begins after one that none joins to what follows
+            follows = rf"(?<=[{head}])(?=[^\W_])|" if head else ""
+            units[:0] = [rf"{MARK}*[^\W_]++(?![^{MARK}{outside}{tail}])", rf"[{tail}]++(?:{follows}(?![^{MARK}{outside}]))"]
+        self.units = re.compile("|".join(units))
         self.longest = max(map(len, plain), default=0)
         self.from_byte = {v: bytes([k]) for k, v in byte_ids.items()}
         self.decoded = [b"" if i in special else self.from_byte.get(i) or p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
