@@ -26,7 +26,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -41,6 +40,11 @@ PENALTY = 10.0
 ROUNDS, SMOOTH = 2, 0.1
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of each stretch of so many places, one stretch after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class DoubleArray:
     """A trie of byte strings: from state s, byte b leads to base[s] + b if check there is s."""
 
@@ -109,8 +113,7 @@ class Model:
         self.longest = max(map(len, plain), default=0)
         self.from_byte = {v: bytes([k]) for k, v in byte_ids.items()}
         self.decoded = [b"" if i in special else self.from_byte.get(i) or p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.ids_of: dict[str, tuple[int, ...]] = {}
-        self.score_of: dict[str, float] = {}
+        self.byte_table = np.array([byte_ids.get(b, 0) for b in range(256)], np.int32)
         self.rate(np.full(len(pieces), -math.log(max(1, len(plain)))))
 
     def rate(self, scores: np.ndarray) -> Model:
@@ -121,8 +124,10 @@ class Model:
         return self
 
     def forget(self) -> None:
-        self.ids_of.clear()
-        self.score_of.clear()
+        """Keep no unit but the marker of a text itself."""
+        self.number: dict[str, int] = {}
+        self.pool = np.array([self.byte_ids[b] for b in MARK.encode()] if self.byte_ids else [], np.int32)
+        self.lengths, self.totals = np.array([len(self.pool)]), np.array([self.unknown])
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -169,23 +174,32 @@ class Model:
             at = start
         return tuple(i for p in reversed(out) for i in p), score[n]
 
-    def best_many(self, units: list[str]) -> list[tuple[tuple[int, ...], float]]:
-        """best() of many units: those of like length go through the trie together."""
-        out: list = [None] * len(units)
+    def best_many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """best() of many units: how many pieces each has, all their pieces in turn, and their scores. Units of like
+        length go through the trie together."""
         data = [u.encode() for u in units]
-        order = sorted((i for i, d in enumerate(data) if len(d) <= self.LONGEST), key=lambda i: len(data[i]))
-        for i, d in enumerate(data):
-            if len(d) > self.LONGEST:
-                out[i] = self.best(units[i])
-        for size, same in groupby(order, key=lambda i: len(data[i])):
-            same = list(same)
-            for at in range(0, len(same), 8192):
-                part = same[at : at + 8192]
-                for i, found in zip(part, self._best_of([data[i] for i in part], size), strict=True):
-                    out[i] = found
-        return out
-
-    def _best_of(self, data: list[bytes], size: int) -> Iterator[tuple[tuple[int, ...], float]]:
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        lengths, scores, found = np.zeros(len(data), np.int64), np.zeros(len(data)), []
+        order = np.argsort(sizes, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(sizes[order])) + 1, [len(order)]]) if len(order) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            size = int(sizes[order[lo]])
+            for at in range(lo, hi, 8192):
+                part = order[at : min(hi, at + 8192)]
+                if size <= self.LONGEST:
+                    own = self._best_of([data[i] for i in part.tolist()], size)
+                else:
+                    each = [self.best(units[i]) for i in part.tolist()]
+                    own = np.array([len(i) for i, _ in each]), np.array([x for i, _ in each for x in i], np.int32), np.array([x for _, x in each])
+                lengths[part], scores[part] = own[0], own[2]
+                found.append((part, own[0], own[1]))
+        start = np.cumsum(lengths) - lengths
+        flat = np.zeros(int(lengths.sum()), np.int32)
+        for part, size, ids in found:
+            flat[spread(start[part], size)] = ids
+        return lengths, flat, scores
+
+    def _best_of(self, data: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of units of so many bytes each. Positions come first in all arrays, units second."""
         base, check, value = self.arrays
         n = len(data)
@@ -227,16 +241,22 @@ class Model:
                 up = total > score[end, rest]
                 r, e = rest[up], end if plain else end[up]
                 score[e, r], back[e, r], piece[e, r] = total[up], at, -1
-        for d, b, p, total in zip(data, back.T.tolist(), piece.T.tolist(), score[size].tolist(), strict=True):
-            at, ids = size, []
-            while at:
-                start = b[at]
-                if p[at] >= 0:
-                    ids.append(p[at])
-                else:
-                    ids += [self.byte_ids[x] for x in reversed(d[start:at])]
-                at = start
-            yield tuple(reversed(ids)), total
+        rows, at = np.arange(n), np.full(n, size)
+        steps: list[tuple[np.ndarray, np.ndarray]] = []  # (unit, id) from the last piece to the first
+        while len(rows):
+            ids, before = piece[at, rows], back[at, rows].astype(np.int64)
+            steps.append((rows[ids >= 0], ids[ids >= 0]))
+            other = np.flatnonzero(ids < 0)
+            if len(other):  # a character by its bytes, the last first
+                stop, begin, own = at[other], before[other], rows[other]
+                for k in range(1, 5):
+                    on = stop - k >= begin
+                    steps.append((own[on], self.byte_table[grid[(stop - k)[on], own[on]]]))
+            left = before > 0
+            rows, at = rows[left], before[left]
+        unit, ids = np.concatenate([u for u, _ in steps]), np.concatenate([i for _, i in steps])
+        order = np.argsort(unit[::-1], kind="stable")
+        return np.bincount(unit, minlength=n), ids[::-1][order], score[size]
 
     def split(self, text: str) -> list[list[str]]:
         """The units of each part of a text; between parts stands a marker of the text itself."""
@@ -246,31 +266,31 @@ class Model:
             first = False
         return out
 
-    def encode_many(self, texts: list[str]) -> list[tuple[list[int], float]]:
-        ids_of, score_of, out = self.ids_of, self.score_of, []
-        if len(ids_of) > self.LIMIT:
+    def encode_many(self, texts: list[str]) -> list[tuple[np.ndarray, float]]:
+        """Ids and score of each text. Each unit has a number, under which its pieces and score are kept."""
+        if len(self.number) > self.LIMIT or len(self.pool) > 8 * self.LIMIT:
             self.forget()
-        parts = [self.split(t) if t else [] for t in texts]
-        new = list(set().union(*(p for t in parts for p in t)).difference(ids_of))
-        for u, (ids, total) in zip(new, self.best_many(new), strict=True):
-            ids_of[u], score_of[u] = ids, total
-        mark = [self.byte_ids[b] for b in MARK.encode()]
+        number, parts = self.number, [self.split(t) if t else [] for t in texts]
+        new = list(set().union(*(p for t in parts for p in t)).difference(number))
+        lengths, ids, scores = self.best_many(new)
+        number.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+        self.lengths, self.pool, self.totals = np.concatenate([self.lengths, lengths]), np.concatenate([self.pool, ids]), np.concatenate([self.totals, scores])
+        starts = np.cumsum(self.lengths) - self.lengths
+        out = []
         for t in parts:
-            ids, total = [], 0.0
-            for k, part in enumerate(t):
-                if k:
-                    ids += mark
-                    total += self.unknown
-                ids += chain.from_iterable(map(ids_of.__getitem__, part))
-                total += sum(map(score_of.__getitem__, part))
-            out.append((ids, total))
+            units = list(map(number.__getitem__, t[0])) if t else []
+            for part in t[1:]:
+                units += [0, *map(number.__getitem__, part)]  # 0: a marker of the text itself
+            at = np.array(units, np.int64)
+            out.append((self.pool[spread(starts[at], self.lengths[at])], float(self.totals[at].sum())))
         for u in new:
             if len(u) > self.LONGEST:
-                del ids_of[u], score_of[u]
+                del number[u]
         return out
 
     def encode(self, text: str) -> tuple[list[int], float]:
-        return self.encode_many([text])[0]
+        ids, score = self.encode_many([text])[0]
+        return ids.tolist(), score
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.decoded.__getitem__, ids))
@@ -334,9 +354,8 @@ def fitted(docs: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
             total, units, times = np.zeros(len(m.pieces), np.int64), [], []
 
             def add() -> None:
-                found = [ids for ids, _ in m.best_many(units)]
-                size = list(map(len, found))
-                np.add.at(total, np.fromiter(chain.from_iterable(found), np.int64, sum(size)), np.repeat(np.array(times, np.int64), size))
+                lengths, ids, _ = m.best_many(units)
+                np.add.at(total, ids, np.repeat(np.array(times, np.int64), lengths))
                 units.clear()
                 times.clear()
 
@@ -370,7 +389,7 @@ def encoded(docs: DataFrame, path: str, scores: np.ndarray | None = None) -> Dat
         m = rated(path, shared.value)
         for b in batches:
             made = m.encode_many(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [np.array(i, np.int32) for i, _ in made], "score": [s for _, s in made]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": [i for i, _ in made], "score": [s for _, s in made]})
         m.forget()
 
     return common.texts(docs).mapInPandas(common.lean(rows), "doc_id long, ids array<int>, score double")
