@@ -482,3 +482,85 @@ def test_elias_fano_finds_values_in_dense_and_sparse_stretches():
         inside = (at >= len(v) // 3) & (at < len(v) // 2)
         begin, end = np.full(len(asked), len(v) // 3), np.full(len(asked), len(v) // 2)
         assert (seq.locate(asked, begin, end) == np.where(there & inside, at, -1)).all()
+
+
+def test_media_features_are_those_of_rendered_frames(spark):
+    texts = ["short", "x" * 40_000 + "é" * 30_000, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = media.store(d)
+    got = {r.doc_id: r for r in media.decoded(stored).collect()}
+    shown = defaultdict(list)
+    for r in media.frames(stored).collect():
+        shown[r.doc_id].append(r)
+    colours = media.default_palette().tolist()
+    for k, text in enumerate(texts):
+        payload = media.padded(text or "")[1]
+        high, hist, canvas = min(len(payload), 64 * 512), np.zeros(12, np.int64), []
+        for i in range(0, len(payload), 64 * 512):
+            part = payload[i : i + 64 * 512]
+            canvas = [*part, *canvas[len(part) : high]]
+            own = np.zeros(12, np.int64)
+            for v, n in Counter(canvas).items():
+                for c in range(3):
+                    own[4 * c + colours[v][c] // 64] += n
+            hist += own
+            frame = next(f for f in shown[k] if f.frame == i // (64 * 512))
+            assert frame.histogram == own.tolist() and frame.start_cs == frame.frame * media.DELAY and len(frame.rgb) == 3 * high
+        n = -(-len(payload) // (64 * 512))
+        assert got[k].feature == ",".join(map(str, [*hist, n, n * media.DELAY])) and len(shown[k]) == n
+        assert hashlib.sha256(payload).hexdigest() == got[k].payload_sha256
+    bad = spark.createDataFrame([(1, 3, b"GIF89a" + b"\xff" * 7), (2, 0, None), (None, 1, b"no")], "doc_id long, n_bytes long, media binary")
+    assert all(r.error and r.feature is None for r in media.decoded(bad).collect()) and all(r.error and r.rgb is None for r in media.frames(bad).collect())
+
+
+def test_gif_offset_and_disposal_to_previous():
+    colours = media.default_palette()
+    first = media.Frame(0, 0, np.full((3, 3), 8, np.uint8), colours, 10, 1)
+    second = media.Frame(1, 2, np.full((4, 2), 9, np.uint8), colours, 5, 3)  # partly outside the canvas
+    third = media.Frame(0, 0, np.full((1, 1), 7, np.uint8), colours, 1, 0)
+    shown = [rgb for _, _, rgb, _ in media.shown(media.Gif(3, 3, colours[0], [first, second, third]))]
+    assert (shown[1][2, 1] == colours[9]).all() and (shown[1][1, 1] == colours[8]).all()
+    assert (shown[2][2, 1] == colours[8]).all() and (shown[2][0, 0] == colours[7]).all()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["gone", "key", "_key", "_times", "_copy", "doc", "d", "t", "th", "fp", "node", "root", "a", "b", "score", "label_id", "at"]
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "s", 0), (2, text, "en", "s", 0), (2, text + " more", "en", None, 0), (3, None, None, "s", None), (None, "a b c", "de", "t", 5), (4, "", "de", "t", 0), (5, "one two", "de", "t", 0), (5, "one two", "de", "t", 0)]
+    d = spark.createDataFrame([(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (2, 1, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    kept = {"toxicity": toxicity.clean(d, labels), "copies": simhash.first_of_each(d), "pii": pii.masked(d), "mix": mixing.mixed(d)}
+    for df in kept.values():
+        assert df.columns == d.columns
+    key = names.index("key") + 5
+    got = {k: sorted(int(r[key][3:]) for r in df.collect()) for k, df in kept.items()}
+    assert got["copies"] == [0, 3, 4, 6, 7] and got["pii"] == list(range(8)) and set(got["mix"]) <= {0, 1, 2, 4, 6, 7} and got["toxicity"] == list(range(8))
+
+
+def test_scores_are_log_probabilities(spark, docs):
+    path = public_tokenizers.path(sentencepiece.MODEL)
+    m = sentencepiece.model(path)
+    whole = [t or "" for (t,) in docs.select("text").collect()]
+    likelihood = []
+    for rounds in range(3):
+        scores = sentencepiece.fitted(docs, path, rounds)
+        assert math.isclose(np.exp(scores[m.plain]).sum(), 1, rel_tol=1e-9)
+        own = sentencepiece.Model.load(path)
+        own.rate(scores)
+        likelihood.append(sum(s for _, s in own.encode_many(whole)))
+    assert likelihood[0] < likelihood[1] < likelihood[2]
+    again = sentencepiece.fitted(docs.repartition(3), path, 2)
+    assert (again == scores).all()
+    plain = set(m.plain.tolist())
+    counts = Counter(i for ids, _ in own.rate(sentencepiece.fitted(docs, path, 1)).encode_many(whole) for i in ids.tolist() if i in plain)
+    total = sum(counts.values())
+    assert all(math.isclose(scores[i], math.log((n + 0.1) / (total + 0.1 * len(plain))), rel_tol=1e-6) for i, n in counts.most_common(20))
+
+
+def test_segmentation_by_units_is_that_of_the_whole_text():
+    m = sentencepiece.Model.load(public_tokenizers.path(sentencepiece.MODEL))
+    m.rate(np.random.default_rng(0).normal(-9, 2, len(m.pieces)))
+    r = random.Random(3)
+    for t in ("".join(r.choice("ab.c,d-'(x)1 2:\n\té_ü!?…”#😀日") for _ in range(r.randint(1, 25))) for _ in range(1000)):
+        ids, score = m.encode(t)
+        assert m.decode(ids) == t and math.isclose(score, m.best("▁" + t.replace(" ", "▁"))[1], abs_tol=1e-6)
