@@ -537,6 +537,19 @@ def test_stages_keep_columns_of_any_name(spark):
     assert got["copies"] == [0, 3, 4, 6, 7] and got["pii"] == list(range(8)) and set(got["mix"]) <= {0, 1, 2, 4, 6, 7} and got["toxicity"] == list(range(8))
 
 
+def test_pipeline_runs_whole(spark):
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{DIR}/documents.parquet")
+    out = corpus_pipeline.run(spark, DIR).collect()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "personal data", "source mix", "sentencepiece"]
+    ids = {r.doc_id for r in given.collect()}
+    m = sentencepiece.model(public_tokenizers.path(sentencepiece.MODEL))
+    assert out and {r.doc_id for r in out} <= ids
+    for r in out:  # nothing that the pattern finds is left
+        assert not pii.base_spans(m.decode(list(r.ids)))
+
+
 def test_scores_are_log_probabilities(spark, docs):
     path = public_tokenizers.path(sentencepiece.MODEL)
     m = sentencepiece.model(path)
