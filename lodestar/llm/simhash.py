@@ -27,7 +27,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import common
@@ -197,7 +197,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # --- near copies at a given similarity ------------------------------------------------------------------------------
 
 SIMILARITY, BANDS, ROWS = 0.8, 16, 5
-SAMPLE, COMMON = 2000, 20_000  # sets that tell which shingles are common, and how many of those are put last
 
 
 def ordered_hashes(text: str, shingle: int, known: common.WordHashes) -> np.ndarray:
@@ -307,35 +306,24 @@ def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def common_shingles(own: DataFrame) -> np.ndarray:
-    """The most frequent shingles of some of the sets, rarest first. They only set the order in prefixes()."""
-    n = own.count()
-    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
-    found = some.select(F.explode("s").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    return np.array([r["h"] for r in reversed(found)], np.int64)
-
-
 def prefixes(own: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, n, label, token and at (its place in the set). In any one order of all shingles, two sets of this
-    similarity share one of each one's first |s| - ceil(similarity |s|) + 1; with common shingles last, unlike texts
-    seldom share one."""
-    late = common_shingles(own)
-    order = np.argsort(late)
-    ascending = late[order]
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kept = []
-            for s in b["s"]:
-                rank = np.zeros(len(s), np.int64)
-                if len(late):
-                    at = np.minimum(np.searchsorted(ascending, s), len(late) - 1)
-                    rank = np.where(ascending[at] == s, order[at] + 1, 0)
-                kept.append(s[np.lexsort((s, rank))][: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1])
-            size = [len(k) for k in kept]
-            yield pd.DataFrame({"doc_id": b["doc_id"].repeat(size), "n": b["s"].map(len).repeat(size), "label": b["label"].repeat(size), "token": np.concatenate(kept) if kept else np.zeros(0, np.int64), "at": np.concatenate([np.arange(k) for k in size]) if size else np.zeros(0, np.int64)})
-
-    return own.mapInPandas(common.lean(made), "doc_id long, n int, label long, token long, at int")
+    """doc_id, n, label, token and rest (how many of the set's tokens stand from this one on).
+
+    Only shingles that different components have are tokens: two similar sets of different components share none but
+    such. In any one order of all tokens, two sets of this similarity share one from which on each has at least
+    ceil(similarity n) tokens; with frequent ones last, unlike texts seldom share one. A set with fewer tokens than that
+    has no similar one in another component and drops out."""
+    sets = own.select("doc_id", "label", F.size("s").alias("n"), F.explode("s").alias("token"))
+    met = sets.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    met = common.materialize(met.select("token", "size"), "tokens")
+    every = common.materialize(sets.join(met, "token"), "token-places")
+    within = Window.partitionBy("doc_id")
+    rest = F.count("*").over(within) - F.row_number().over(within.orderBy("size", "token")) + 1
+    out = every.withColumn("rest", rest).where(F.col("rest") >= F.ceil(similarity * F.col("n") - 1e-9))
+    out = common.materialize(out.select("doc_id", "n", "label", "token", "rest"), "prefixes")
+    common.release(met)
+    common.release(every)
+    return out
 
 
 def remaining(own: DataFrame, similarity: float) -> DataFrame:
@@ -344,15 +332,15 @@ def remaining(own: DataFrame, similarity: float) -> DataFrame:
     Sets of sizes x and y with the similarity share at least (x + y) similarity / (1 + similarity) shingles. All of them
     stand at or after the first shared one, so that one has as many places left in each set; pairs are made only
     under tokens of which this holds."""
-    every = common.materialize(prefixes(own, similarity), "prefixes")
+    every = prefixes(own, similarity)
     split = common.materialize(every.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token"), "split-tokens")
     tokens = common.materialize(every.join(split, "token", "left_semi"), "split-prefixes")
     # of two components that meet under a token, one at least is not the token's largest
     largest = tokens.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label")).alias("top")).select("token", F.col("top.label").alias("largest"))
     largest = common.materialize(largest, "largest")
-    fewer = tokens.join(largest, "token").where("label <> largest").select("token", F.struct("doc_id", "n").alias("x"), F.col("label").alias("lx"), (F.col("n") - F.col("at")).alias("rx"))
+    fewer = tokens.join(largest, "token").where("label <> largest").select("token", F.struct("doc_id", "n").alias("x"), F.col("label").alias("lx"), F.col("rest").alias("rx"))
     fewer = common.materialize(fewer, "fewer")
-    others = tokens.select("token", F.struct("doc_id", "n").alias("y"), F.col("label").alias("ly"), (F.col("n") - F.col("at")).alias("ry"))
+    others = tokens.select("token", F.struct("doc_id", "n").alias("y"), F.col("label").alias("ly"), F.col("rest").alias("ry"))
     shared = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-9
     pairs = fewer.join(others, "token").where("lx <> ly").where(F.least("rx", "ry") >= shared)
     out = common.materialize(alike_in_size(pairs.select("x", "y"), similarity), "remaining")
