@@ -58,4 +58,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_winnowing, op2_token_packing, op3_gif_media, op4_toxicity, op5_pii, op6_simhash, op7_substring_dedup, op8_source_mixing, op9_lm_scoring, op10_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        starts AS (SELECT r, doc_id, words, unnest(range(1, greatest(len(words) - 48, 1))) AS i FROM texts),
+        windows AS (SELECT r, doc_id, i, array_to_string(words[i:i + 49], ' ') AS seen FROM starts),
+        firsts AS (SELECT seen, min(doc_id) AS first FROM windows GROUP BY seen),
+        hits AS (SELECT r, i FROM windows JOIN firsts USING (seen) WHERE first < doc_id),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM hits),
+        placed AS (SELECT r, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM texts),
+        kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (r)
+    """,
+}

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -577,3 +578,15 @@ def test_segmentation_by_units_is_that_of_the_whole_text():
     for t in ("".join(r.choice("ab.c,d-'(x)1 2:\n\té_ü!?…”#😀日") for _ in range(r.randint(1, 25))) for _ in range(1000)):
         ids, score = m.encode(t)
         assert m.decode(ids) == t and math.isclose(score, m.best("▁" + t.replace(" ", "▁"))[1], abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    sf_dir = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = db.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
