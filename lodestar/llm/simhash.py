@@ -140,15 +140,15 @@ def midpoints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs a > b of different fingerprints: enough of those within two bits to connect all of them."""
     pairs = "key long, fp long"
-    near = common.materialize(distinct.mapInPandas(near_keys, pairs), "near-keys")
+    near = common.materialize(distinct.mapInPandas(common.lean(near_keys), pairs), "near-keys")
     hot = near.groupBy("key").count().where(F.col("count") > HOT).select("key")
     hot = common.materialize(hot, "hot-keys")
-    own = distinct.mapInPandas(own_keys, pairs)
+    own = distinct.mapInPandas(common.lean(own_keys), pairs)
     cold = near.join(hot, "key", "left_anti")
     # linked fingerprints meet under the key of either one's own codeword, so one direction finds every pair
     found = own.withColumnRenamed("fp", "x").join(cold.withColumnRenamed("fp", "y"), "key").where(f"x <> y and bit_count(x ^ y) <= {DISTANCE}").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     spread = near.join(hot, "key", "left_semi").select(F.expr("cast(key div 1099511627776 as int)").alias("s"), "fp").distinct()
-    points = spread.select((F.col("s").cast("long") * 1099511627776).alias("key"), "fp").mapInPandas(midpoints, "s int, point long, fp long")
+    points = spread.select((F.col("s").cast("long") * 1099511627776).alias("key"), "fp").mapInPandas(common.lean(midpoints), "s int, point long, fp long")
     least = points.groupBy("s", "point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("top > b").select("s", "point", "b")
     stars = points.join(least, ["s", "point"]).where("fp > b").select(F.col("fp").alias("a"), "b")
     out = common.materialize(found.unionByName(stars).distinct(), "links")
