@@ -5,11 +5,13 @@ hashes (the rightmost of equal ones); windows in a row with one anchor occurrenc
 one row: the anchor, a hash of the path's words, its document and its word range. An anchor of only one document
 cannot be repeated and is dropped. Where all occurrences of an anchor have the same path, the path does not branch and
 its least document decides for all of its windows at once. Paths of an anchor that differ are expanded once each (not
-once for each document) to windows, which meet by (anchor, window hash). Ranges go back to the documents by doc_id and
-text hash, and there remove the covered words.
+once for each document) to windows, which meet by (anchor, window hash); windows in a row with one source are one
+range again. Each range carries the coordinates of its source (doc_id, text hash, first word). The words at the source
+give a 128-bit digest, which goes with the range to its document, and there the covered words are removed where their own
+digest is the same.
 
-Every window of equal words has the same anchor, so joins on anchors lose no repeat. Equality is that of two 64-bit
-hashes together (anchor with path, anchor with window).
+Every window of equal words has the same anchor, so joins on anchors lose no repeat. A range whose words are not those at
+its source (64-bit hashes of different words agree) stays.
 
 Edge cases: a null or empty text has no words; a document of under WINDOW words loses none; a window repeated within
 one document, or in rows with the same doc_id, does not count; a null doc_id neither loses words nor takes any from
@@ -23,9 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import common
@@ -68,19 +69,11 @@ class Words:
         return x ^ (x >> np.uint64(32))
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def hashed(texts: list[str]) -> Iterator[tuple[list[bytes], Words]]:
-    known = Hashes()
+    known = common.WordHashes()
     for t in texts:
         words = t.encode().split()
         yield words, Words(words, np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        if len(known) > 300_000:
-            known.clear()
 
 
 def window_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -141,14 +134,30 @@ def expanded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
         texts = [unpack.decompress(p).decode() for p in b["packed"]]
-        for (_, words), doc, rows in zip(hashed(texts), b["doc_id"], b["rows"], strict=True):
+        for (_, words), doc, th, rows in zip(hashed(texts), b["doc_id"], b["th"], b["rows"], strict=True):
             parts = []
             for r in rows:
                 at = np.arange(r["lo"], r["hi"] + 1)
-                parts.append(pd.DataFrame({"anchor": r["anchor"], "path": r["path"], "j": at - r["lo"], "window": words.hash(at, at + WINDOW).view(np.int64), "least": doc}))
+                parts.append(pd.DataFrame({"anchor": r["anchor"], "path": r["path"], "j": at - r["lo"], "window": words.hash(at, at + WINDOW).view(np.int64), "least": doc, "th": th, "at": at}))
             yield pd.concat(parts)
 
 
+def seen(words: list[bytes], lo: int, hi: int) -> bytes:
+    """A digest of the words of the windows that start in lo to hi."""
+    return hashlib.blake2b(b" ".join(words[lo : hi + WINDOW]), digest_size=16).digest()
+
+
+def sourced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The digests of the source ranges that this document is asked for."""
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        out = []
+        for doc, th, data, rows in zip(b["s_doc"], b["s_th"], b["packed"], b["rows"], strict=True):
+            words = unpack.decompress(data).split()
+            out += [(doc, th, r["s_lo"], r["span"], seen(words, r["s_lo"], r["s_lo"] + r["span"])) for r in rows]
+        yield pd.DataFrame(out, columns=["s_doc", "s_th", "s_lo", "span", "seen"])
+
+
 def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
@@ -156,7 +165,10 @@ def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, th, data, ranges in zip(b["doc_id"], b["th"], b["packed"], b["ranges"], strict=True):
             words = unpack.decompress(data).split()
             edges = np.zeros(len(words) + 1, np.int64)
-            lo, hi = np.array([(r["lo"], r["hi"]) for r in ranges]).T
+            own = {(r["lo"], r["hi"]) for r in ranges}
+            own = {x: seen(words, *x) for x in own}
+            same = [(r["lo"], r["hi"]) for r in ranges if own[r["lo"], r["hi"]] == r["seen"]]
+            lo, hi = np.array(same, np.int64).reshape(-1, 2).T
             np.add.at(edges, lo, 1)
             np.add.at(edges, hi + WINDOW, -1)
             gone = np.cumsum(edges[:-1]) > 0
@@ -165,9 +177,15 @@ def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "th", "n_removed", "kept", "kept_sha256"]).assign(kept=lambda d: [x.decode() for x in d["kept"]])
 
 
+def follows(x: Column, y: Column) -> Column:
+    """Whether window y is the next one after x in its path and at its source."""
+    step = (y["j"] == x["j"] + 1) & (y["first"]["at"] == x["first"]["at"] + 1)
+    return F.coalesce(step & (y["first"]["least"] == x["first"]["least"]) & (y["first"]["th"] == x["first"]["th"]), F.lit(False))
+
+
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Word ranges to remove (doc_id, th, lo, hi: every window that starts in lo to hi), and the packed texts of
-    the documents that have some."""
+    """Word ranges to remove (doc_id, th, lo, hi: every window that starts in lo to hi) with the coordinates of their
+    sources (s_doc, s_th, s_lo), and the packed texts of the documents with passages of others."""
     own = common.texts(docs).withColumn("th", F.xxhash64("text"))
     rows = common.materialize(own.mapInPandas(compacted, ROW), "paths")
     found = rows.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("path") != F.max("path")).alias("branches")).where("least < most")
@@ -175,27 +193,50 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = common.materialize(rows.join(found, "anchor"), "repeated-paths")
     common.release(rows)
     common.release(found)
-    some = common.materialize(again.where("branches or doc_id > least").select("doc_id", "th").distinct(), "touched")
+    common.sweep(docs.sparkSession)
+    some = common.materialize(again.select("doc_id", "th").distinct(), "touched")
     texts = common.materialize(own.mapInPandas(squeezed, "doc_id long, th long, packed binary").join(some, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]), "touched-texts")
-    plain = again.where("not branches and doc_id > least").select("doc_id", "th", "lo", "hi")
+    common.release(some)
+    at_least = again.where("not branches and doc_id = least").groupBy("anchor").agg(F.min(F.struct("th", "lo")).alias("s"))
+    at_least = common.materialize(at_least.select("anchor", F.col("s.th").alias("s_th"), F.col("s.lo").alias("s_lo")), "least-places")
+    plain = again.where("not branches and doc_id > least").join(at_least, "anchor").select("doc_id", "th", "lo", "hi", F.col("least").alias("s_doc"), "s_th", "s_lo")
     forks = again.where("branches")
     example = forks.groupBy("anchor", "path").agg(F.min(F.struct("doc_id", "th", "lo", "hi")).alias("e")).select("anchor", "path", "e.*")
     asked = example.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "path", "lo", "hi")).alias("rows"))  # at most a document's own paths
-    windows = texts.join(asked, ["doc_id", "th"]).select("doc_id", "packed", "rows").mapInPandas(expanded, "anchor long, path long, j int, window long, least long")
+    windows = texts.join(asked, ["doc_id", "th"]).select("doc_id", "th", "packed", "rows").mapInPandas(expanded, "anchor long, path long, j int, window long, least long, th long, at int")
     windows = common.materialize(windows, "windows")
-    first = common.materialize(windows.groupBy("anchor", "window").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
+    common.sweep(docs.sparkSession)
+    place = F.struct("least", "th", "at")
+    first = common.materialize(windows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
     # a window that only one path has is only known from that path's own documents
-    by_path = windows.join(first, ["anchor", "window"], "left").groupBy("anchor", "path").agg(F.collect_list(F.struct("j", F.coalesce("first", "least").alias("first"))).alias("firsts"))
-    by_path = common.materialize(by_path, "path-windows")
-    hit = forks.join(by_path, ["anchor", "path"]).withColumn("f", F.explode(F.filter("firsts", lambda f: f["first"] < F.col("doc_id"))))
-    return plain.unionByName(hit.select("doc_id", "th", (F.col("lo") + F.col("f.j")).alias("lo"), (F.col("lo") + F.col("f.j")).alias("hi"))), texts
+    by_path = windows.join(first, ["anchor", "window"], "left").groupBy("anchor", "path").agg(F.sort_array(F.collect_list(F.struct("j", F.coalesce("first", place).alias("first")))).alias("firsts"))
+    starts = F.filter("firsts", lambda x, i: ~follows(F.get("firsts", i - 1), x))
+    ends = F.filter("firsts", lambda x, i: ~follows(x, F.get("firsts", i + 1)))
+    by_path = by_path.select("anchor", "path", starts.alias("starts"), ends.alias("ends")).select("anchor", "path", F.arrays_zip("starts", "ends").alias("runs"))
+    by_path = common.materialize(by_path, "path-runs")
+    for done in (windows, first):
+        common.release(done)
+    common.sweep(docs.sparkSession)
+    hit = forks.join(by_path, ["anchor", "path"]).withColumn("f", F.explode(F.filter("runs", lambda f: f["starts"]["first"]["least"] < F.col("doc_id"))))
+    source = hit["f.starts.first"]
+    hit = hit.select("doc_id", "th", (F.col("lo") + F.col("f.starts.j")).alias("lo"), (F.col("lo") + F.col("f.ends.j")).alias("hi"), source["least"].alias("s_doc"), source["th"].alias("s_th"), source["at"].alias("s_lo"))
+    out = common.materialize(plain.unionByName(hit), "ranges")
+    for done in (again, at_least, by_path):
+        common.release(done)
+    return out, texts
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, of the documents that lose words, the kept text."""
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.small_batches(spark)
     ranges, texts = removals(docs)
-    by_doc = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))  # at most a document's own windows
+    common.sweep(spark)
+    ranges = ranges.withColumn("span", F.col("hi") - F.col("lo"))
+    asked = ranges.select("s_doc", "s_th", "s_lo", "span").distinct().groupBy("s_doc", "s_th").agg(F.collect_list(F.struct("s_lo", "span")).alias("rows"))  # ranges of one document
+    asked = texts.join(asked, (F.col("doc_id") == F.col("s_doc")) & (F.col("th") == F.col("s_th"))).select("s_doc", "s_th", "packed", "rows")
+    known = common.materialize(asked.mapInPandas(sourced, "s_doc long, s_th long, s_lo int, span int, seen binary"), "source-digests")
+    by_doc = ranges.join(known, ["s_doc", "s_th", "s_lo", "span"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "seen")).alias("ranges"))  # at most a document's own windows
     changed = by_doc.join(texts, ["doc_id", "th"]).mapInPandas(kept, "doc_id long, th long, n_removed long, kept string, kept_sha256 string")
     changed = changed.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "n_removed", "kept", "kept_sha256")
     whole = common.texts(docs).withColumn("th", F.xxhash64("text")).mapInPandas(facts, "doc_id long, th long, n_words long, whole string")

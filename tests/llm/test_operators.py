@@ -10,9 +10,11 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 
 from lodestar.llm import fingerprints, lm, media, mixing, packing, pii, queries, sentencepiece, simhash, substring, toxicity
 
@@ -376,6 +378,18 @@ def test_substring(spark, docs, plain, empty):
     assert got == slow_removed([(d, t, None) for d, t in rows])
 
 
+
+def test_substring_verifies_words_at_the_source():
+    words = [b"w%d" % i for i in range(120)]
+    packed = zstandard.ZstdCompressor().compress(b" ".join(words))
+    right, wrong = substring.seen(words, 3, 7), substring.seen(words, 4, 8)
+    source = pd.DataFrame({"s_doc": [1], "s_th": [5], "packed": [packed], "rows": [[{"s_lo": 3, "span": 4}]]})
+    assert next(substring.sourced(iter([source])))["seen"].tolist() == [right]
+    for known, removed in ((right, 54), (wrong, 0)):
+        batch = pd.DataFrame({"doc_id": [2], "th": [5], "packed": [packed], "ranges": [[{"lo": 3, "hi": 7, "seen": known}]]})
+        assert next(substring.kept(iter([batch])))["n_removed"].tolist() == [removed]
+
+
 def test_mixing(spark, docs, plain, empty):
     got = mixing.mix(docs, block=64).collect()
     size = Counter()
