@@ -11,12 +11,15 @@ ordered by their ids; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +87,10 @@ class WordEncoder:
     """Encodes with the tokenizers library, each distinct word once.
 
     The vocabulary's normaliser and pre-tokeniser neither keep nor cross white space, lower-case letters themselves and
-    part a run of full stops and commas from the letter before it; so the ids of a text are those of its pieces
-    between ASCII white space, and those of such a piece are its lower-cased word's and its final marks'. The tests
-    hold this against whole texts.
+    part a run of marks from the letters before it; so the ids of a text are those of its pieces between ASCII white
+    space, and those of a piece of letters and marks (both from Latin-1) are its letters' and its marks'. Such a part
+    is one sequence to BPE, whose last id, and no other, ends a word: many are encoded in one call and told apart by
+    those ids. Any other piece is told from its neighbours by offsets. The tests hold this against whole texts.
     """
 
     PIECES, WORDS = 1_000_000, 700_000  # remembered between texts, some 150 bytes each
@@ -95,48 +99,86 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.pieces, self.words = Tokenizer.from_file(path), {"": b""}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[np.ndarray]:
-        cut = [spaced(t).split(" ") for t in texts]
+    def encode(self, texts: list[str] | pa.Array, end_id: int | None = END_ID) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.dictionary_encode()
+        at = flat.indices.to_numpy()
+        blobs = self.looked_up(flat.dictionary.to_pylist())
+        data = np.frombuffer(b"".join(blobs), "<u4")
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        starts = (np.cumsum(sizes) - sizes)[at]
+        sizes = sizes[at]
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = data[np.repeat(starts - (stops - sizes), sizes) + np.arange(total)]
+        edges = np.concatenate([[0], stops])[edges]
+        if end_id is not None:
+            ids, edges = np.insert(ids, edges[1:], end_id), edges + np.arange(len(edges))
+        return [ids[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+
+    def looked_up(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, learning those that are new."""
         if len(self.pieces) > self.PIECES:
-            self.pieces.clear()
+            self.pieces = {"": b""}
         if len(self.words) > self.WORDS:
-            self.words.clear()
+            self.words = {}
         known, words = self.pieces, self.words
-        parts = {p: self.parted(p) for p in set().union(*cut).difference(known)}
-        self.learn([w for w in {w for ws in parts.values() for w in ws} if w not in words])
-        for p, (word, marks) in parts.items():
-            known[p] = words[word] + words[marks] if marks else words[word]
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, ps), end]), "<u4") for ps in cut]
-
-    @staticmethod
-    def parted(piece: str) -> tuple[str, str]:
-        if not piece.isascii():
-            return piece, ""
-        word = piece.rstrip(".,")
-        return (word.lower(), piece[len(word) :]) if word and word[-1].isalpha() else (piece, "")
-
-    def learn(self, new: list[str]) -> None:
+        blobs = list(map(known.get, pieces))
+        new = [i for i, x in enumerate(blobs) if x is None]
+        parts, simple, other = [], set(), set()
+        for i in new:
+            found = PARTED(pieces[i])
+            if found:
+                word, marks = found.groups()
+                word = word.lower()
+                simple.add(word)
+                if marks:
+                    simple.add(marks)
+            else:
+                word, marks = pieces[i], ""
+                other.add(word)
+            parts.append((word, marks))
+        self.learn([w for w in simple if w not in words], True)
+        self.learn([w for w in other if w not in words], False)
+        for i, (word, marks) in zip(new, parts, strict=True):
+            blobs[i] = known[pieces[i]] = words[word] + words[marks] if marks else words[word]
+        return blobs
+
+    def learn(self, new: list[str], simple: bool) -> None:
         groups = [new[i : i + self.TOGETHER] for i in range(0, len(new), self.TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        together = [" ".join(g) for g in groups]
+        again = []
+        if simple:
+            for k, e in enumerate(self.tokenizer.encode_batch_fast(together, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                edges = np.flatnonzero(self.ends[ids]) + 1
+                if len(edges) == len(groups[k]) and edges[-1] == len(ids):
+                    self.keep(groups[k], ids, [0, *edges.tolist()])
+                else:  # a vocabulary without such ids
+                    again.append(k)
+            groups, together = [groups[k] for k in again], [together[k] for k in again]
+        for group, e in zip(groups, self.tokenizer.encode_batch(together, add_special_tokens=False), strict=True):
             starts = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
-            edges = [0, *np.searchsorted(starts, np.cumsum([len(w) + 1 for w in group]) - 1).tolist()]
-            ids = np.array(e.ids, "<u4")
-            for w, a, b in zip(group, edges, edges[1:], strict=False):
-                self.words[w] = ids[a:b].tobytes()
+            self.keep(group, np.array(e.ids, "<u4"), [0, *np.searchsorted(starts, np.cumsum([len(w) + 1 for w in group]) - 1).tolist()])
 
+    def keep(self, group: list[str], ids: np.ndarray, edges: list[int]) -> None:
+        data = ids.tobytes()
+        for w, a, b in zip(group, edges, edges[1:], strict=False):
+            self.words[w] = data[4 * a : 4 * b]
 
-def spaced(text: str) -> str:
-    """ASCII white space as spaces; five searches for single characters, which str.translate does one by one."""
-    for c in "\t\n\v\f\r":
-        text = text.replace(c, " ")
-    return text
 
+#: Latin-1 letters, which no normal form changes, and marks after them.
+PARTED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 ENCODERS: dict[str, WordEncoder] = {}
 
@@ -156,14 +198,14 @@ def write_packed(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     common.small_batches(spark)
     bounds = np.array(common.order_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", common.order_buckets(spark)), np.int64)
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         bits = bits_for(enc.vocabulary())
         for b in batches:
-            ids = enc.encode(b["text"].tolist(), end_id)
-            known = b["doc_id"].notna()
-            at = np.where(known, np.searchsorted(bounds, b["doc_id"].fillna(0).astype(np.int64)), 0)
-            yield pd.DataFrame({"bucket": at.astype(np.int32), "doc_id": b["doc_id"].astype("Int64"), "n": [len(x) for x in ids], "bits": bits, "ids": [pack_bits(x, bits) for x in ids]})
+            ids = enc.encode(b["text"], end_id)
+            at = np.where(b["doc_id"].is_valid(), np.searchsorted(bounds, b["doc_id"].fill_null(0)), 0)
+            columns = (at.astype(np.int32), b["doc_id"], np.array([len(x) for x in ids], np.int32), np.full(len(ids), bits, np.int32), pa.array([pack_bits(x, bits) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["bucket", "doc_id", "n", "bits", "ids"])
 
     def images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, seq, before, size, ids, parts, bits = -1, 0, 0, 0, [], [], 0
@@ -188,7 +230,7 @@ def write_packed(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     path = common.fresh_path(spark, "tokens")
     (
         common.texts(docs)
-        .mapInPandas(encoded, "bucket int, doc_id long, n int, bits int, ids binary")
+        .mapInArrow(encoded, "bucket int, doc_id long, n int, bits int, ids binary")
         .repartition(common.shuffle_partitions(spark), "bucket")
         .sortWithinPartitions("bucket", "doc_id", "ids")
         .mapInPandas(images, "bucket int, seq int, before long, n_ids long, image binary")

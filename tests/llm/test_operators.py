@@ -93,6 +93,17 @@ def test_packing(spark, docs, plain, empty):
     assert packing.read_packed(spark, packing.write_packed(empty, path)).count() == 0
 
 
+def test_packing_odd_words():
+    enc = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY))
+    odd = ["<|ENDOFTEXT|>abc", "<|endoftext|>abc x<|StartOfText|>y", "don't!! it'S O'Re%%% x' 's's", "İstanbul, naïve&&& ÜBER!! ß.. µm ªb ×a÷", "e\u0301, =\u0338 a\u0338= क़!", "", " \t\n", "\x1c a\x85b\u3000c\xa0d \x0b\x0ce", "ΣΑΣ. ΑΣ Ǆ,", "a1b2, 3.5 ...---", "日本語!! 😀,"]
+    odd += [" ".join(chr(c) + m for m in ["", ".", "'", "&&&", "<|"]) for c in range(33, 384)] + [" ".join(f"{w}{i}{m}" for w in ("Eon", "éa") for m in ("", ",", "!!")) for i in range(300)]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in odd]
+    assert [x.tolist() for x in enc.encode(odd)] == [x.tolist() for x in enc.encode(odd)] == want
+    enc.ends[:] = False  # a vocabulary whose ids do not tell where words end
+    enc.pieces, enc.words = {"": b""}, {}
+    assert [x.tolist() for x in enc.encode(odd)] == want and enc.encode([]) == []
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17])
 def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 9001).astype(np.uint32)
