@@ -4,9 +4,10 @@ Each window of WINDOW consecutive words is an edge of the graph. The window's an
 hashes (the rightmost of equal ones); windows in a row with one anchor occurrence form a path, which is compacted to
 one row: the anchor, a hash of the path's words, its document and its word range. An anchor of only one document
 cannot be repeated and is dropped. Where all occurrences of an anchor have the same path, the path does not branch and
-its least document decides for all of its windows at once. Paths of an anchor that differ are expanded once each (not
-once for each document) to windows, which meet by (anchor, window hash); windows in a row with one source are one
-range again. Each range carries the coordinates of its source (doc_id, text hash, first word). The words at the source
+its least document decides for all of its windows at once. Where paths of an anchor differ, each has an example in its least
+document. That is the source of the whole path in later documents; its own sources lie in other paths, so the examples
+alone are expanded to windows, which meet by (anchor, window hash) in one shuffle, and only windows with an earlier
+document go on. Windows in a row with one source are one range again. Each range carries the coordinates of its source (doc_id, text hash, first word). The words at the source
 give a 128-bit digest, which goes with the range to its document, and there the covered words are removed where their own
 digest is the same.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import common
@@ -197,29 +198,34 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = common.materialize(again.select("doc_id", "th").distinct(), "touched")
     texts = common.materialize(own.mapInPandas(squeezed, "doc_id long, th long, packed binary").join(some, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]), "touched-texts")
     common.release(some)
+    common.sweep(docs.sparkSession)
     at_least = again.where("not branches and doc_id = least").groupBy("anchor").agg(F.min(F.struct("th", "lo")).alias("s"))
     at_least = common.materialize(at_least.select("anchor", F.col("s.th").alias("s_th"), F.col("s.lo").alias("s_lo")), "least-places")
     plain = again.where("not branches and doc_id > least").join(at_least, "anchor").select("doc_id", "th", "lo", "hi", F.col("least").alias("s_doc"), "s_th", "s_lo")
     forks = again.where("branches")
     example = forks.groupBy("anchor", "path").agg(F.min(F.struct("doc_id", "th", "lo", "hi")).alias("e")).select("anchor", "path", "e.*")
+    example = common.materialize(example, "examples")
     asked = example.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "path", "lo", "hi")).alias("rows"))  # at most a document's own paths
     windows = texts.join(asked, ["doc_id", "th"]).select("doc_id", "th", "packed", "rows").mapInPandas(expanded, "anchor long, path long, j int, window long, least long, th long, at int")
     windows = common.materialize(windows, "windows")
     common.sweep(docs.sparkSession)
-    place = F.struct("least", "th", "at")
-    first = common.materialize(windows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
-    # a window that only one path has is only known from that path's own documents
-    by_path = windows.join(first, ["anchor", "window"], "left").groupBy("anchor", "path").agg(F.sort_array(F.collect_list(F.struct("j", F.coalesce("first", place).alias("first")))).alias("firsts"))
+    first = F.min(F.struct("least", "th", "at")).over(Window.partitionBy("anchor", "window"))
+    earlier = windows.select("anchor", "path", "j", "least", first.alias("first")).where("first.least < least")
+    by_path = earlier.groupBy("anchor", "path").agg(F.sort_array(F.collect_list(F.struct("j", "first"))).alias("firsts"))  # at most a path's own windows
     starts = F.filter("firsts", lambda x, i: ~follows(F.get("firsts", i - 1), x))
     ends = F.filter("firsts", lambda x, i: ~follows(x, F.get("firsts", i + 1)))
     by_path = by_path.select("anchor", "path", starts.alias("starts"), ends.alias("ends")).select("anchor", "path", F.arrays_zip("starts", "ends").alias("runs"))
+    by_path = example.select("anchor", "path", F.col("doc_id").alias("e_doc"), F.col("th").alias("e_th"), F.col("lo").alias("e_lo")).join(by_path, ["anchor", "path"], "left")
     by_path = common.materialize(by_path, "path-runs")
-    for done in (windows, first):
+    for done in (windows, example):
         common.release(done)
     common.sweep(docs.sparkSession)
-    hit = forks.join(by_path, ["anchor", "path"]).withColumn("f", F.explode(F.filter("runs", lambda f: f["starts"]["first"]["least"] < F.col("doc_id"))))
-    source = hit["f.starts.first"]
-    hit = hit.select("doc_id", "th", (F.col("lo") + F.col("f.starts.j")).alias("lo"), (F.col("lo") + F.col("f.ends.j")).alias("hi"), source["least"].alias("s_doc"), source["th"].alias("s_th"), source["at"].alias("s_lo"))
+    span = lambda a, b, doc, th, lo: F.struct(a.alias("a"), b.alias("b"), doc.alias("s_doc"), th.alias("s_th"), lo.alias("s_lo"))
+    whole = F.array(span(F.lit(0), F.col("hi") - F.col("lo"), F.col("e_doc"), F.col("e_th"), F.col("e_lo")))
+    own = F.transform("runs", lambda f: span(f["starts"]["j"], f["ends"]["j"], f["starts"]["first"]["least"], f["starts"]["first"]["th"], f["starts"]["first"]["at"]))
+    # a document after the example has every window of the path from it; the example's own looks to other paths
+    hit = forks.join(by_path, ["anchor", "path"]).withColumn("f", F.explode(F.when(F.col("e_doc") < F.col("doc_id"), whole).otherwise(own)))
+    hit = hit.select("doc_id", "th", (F.col("lo") + F.col("f.a")).alias("lo"), (F.col("lo") + F.col("f.b")).alias("hi"), "f.s_doc", "f.s_th", "f.s_lo")
     out = common.materialize(plain.unionByName(hit), "ranges")
     for done in (again, at_least, by_path):
         common.release(done)

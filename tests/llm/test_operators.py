@@ -93,6 +93,19 @@ def test_packing(spark, docs, plain, empty):
     assert packing.read_packed(spark, packing.write_packed(empty, path)).count() == 0
 
 
+def test_a_branching_path_is_one_range_in_later_copies(spark):
+    run = lambda x, n: [f"{x}{i}" for i in range(n)]
+    first, copy = run("p", 60) + run("a", 120) + run("q", 60), run("r", 60) + run("a", 110)[10:] + run("s", 60)
+    rows = [(1, first), (2, copy), (2, ["own"] + copy), (3, copy), (3, run("t", 7) + copy), (4, run("r", 60))]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    ranges, _ = substring.removals(docs)
+    of_3 = ranges.where("doc_id = 3").groupBy("th").count().collect()
+    want = [len(substring.paths(words)[0]) for words in [w for _, w in substring.hashed([" ".join(copy)])]]
+    assert want[0] in [r["count"] for r in of_3]  # paths of doc_id 3's first text: each whole from doc_id 2 or 1
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.deduplicated(docs).collect())
+    assert got == [(1, 240, 0), (2, 220, 100), (2, 221, 100), (3, 220, 220), (3, 227, 220), (4, 60, 60)]
+
+
 def test_packing_odd_words():
     enc = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY))
     odd = ["<|ENDOFTEXT|>abc", "<|endoftext|>abc x<|StartOfText|>y", "don't!! it'S O'Re%%% x' 's's", "İstanbul, naïve&&& ÜBER!! ß.. µm ªb ×a÷", "e\u0301, =\u0338 a\u0338= क़!", "", " \t\n", "\x1c a\x85b\u3000c\xa0d \x0b\x0ce", "ΣΑΣ. ΑΣ Ǆ,", "a1b2, 3.5 ...---", "日本語!! 😀,"]
