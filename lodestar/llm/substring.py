@@ -134,13 +134,27 @@ def expanded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The windows of the paths of which this document is the example."""
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
-        texts = [unpack.decompress(p).decode() for p in b["packed"]]
+        texts, parts, held = (unpack.decompress(p).decode() for p in b["packed"]), [], 0
         for (_, words), doc, th, rows in zip(hashed(texts), b["doc_id"], b["th"], b["rows"], strict=True):
-            parts = []
-            for r in rows:
-                at = np.arange(r["lo"], r["hi"] + 1)
-                parts.append(pd.DataFrame({"anchor": r["anchor"], "path": r["path"], "j": at - r["lo"], "window": words.hash(at, at + WINDOW).view(np.int64), "least": doc, "th": th, "at": at}))
-            yield pd.concat(parts)
+            anchor, path, lo, hi = np.array([(r["anchor"], r["path"], r["lo"], r["hi"]) for r in rows], np.int64).T
+            n = hi - lo + 1
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(lo, n) + j
+            parts.append((np.repeat(anchor, n), np.repeat(path, n), j, words.hash(at, at + WINDOW).view(np.int64), np.full(len(at), doc), np.full(len(at), th), at))
+            held += len(at)
+            if held > EXPANDED:
+                yield expansion(parts)
+                parts, held = [], 0
+        if parts:
+            yield expansion(parts)
+
+
+#: Windows gathered before they leave the worker.
+EXPANDED = 100_000
+
+
+def expansion(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("anchor", "path", "j", "window", "least", "th", "at"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
 
 def seen(words: list[bytes], lo: int, hi: int) -> bytes:
